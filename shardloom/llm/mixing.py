@@ -109,8 +109,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counts as often as it occurs. Ties of id within a size break by nothing that a row can be told by, so reruns
     agree. An empty table gives no rows; other columns are ignored.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
-    cells = cut(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "cells")
+    rows_of = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    cells = cut(rows_of.groupBy("key", "size").agg(F.count("*").alias("n")), "cells")
     goals = cut(targets(cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("n_docs")), weights, share, most), "goals")
     lams = duals(cells, goals, most)
     per_source = cells.join(lams, "key").join(goals.select("key", "target"), "key")
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # Of a cell's n documents, copies % n get one more: the first in hash order, ranked in parts that are counted first.
     part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / RANKED)))
-    rows = sized.join(given, ["key", "size"]).withColumns({"part": part, "extra": F.col("copies") % F.col("n"), "each": F.floor(F.col("copies") / F.col("n"))})
+    rows = rows_of.join(given, ["key", "size"]).withColumns({"part": part, "extra": F.col("copies") % F.col("n"), "each": F.floor(F.col("copies") / F.col("n"))})
     open_rows = rows.filter("extra > 0")
     counts = open_rows.groupBy("key", "size", "part").agg(F.count("*").alias("in_part"))
     before = F.sum("in_part").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

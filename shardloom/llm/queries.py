@@ -89,7 +89,7 @@ ORACLE_SQL: dict[str, str] = {
         with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
         s as (
             select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 4 then [ws]
-                else list_transform(range(1, len(ws) - 2), i -> ws[i : i + 3]) end) as sh from w),
+                else list_transform(range(1, len(ws) - 2), lambda i: ws[i : i + 3]) end) as sh from w),
         c as (select min(doc_id) as rep, sh from s where len(sh) > 0 group by sh),
         g as (select rep, unnest(sh) as x, len(sh) as n from c),
         p as (select a.rep as a, b.rep as b from g a join g b on a.x = b.x and a.rep < b.rep
