@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, language_id, mixing, pii, token_counts, url_filters
+from . import bpe, exact_dedup, fingerprints, jaccard_join, language_id, mixing, pii, suffix_dedup, token_counts, url_filters
 from .common import table
 
 #: For the registered query only; whoever keeps pseudonyms has a key of their own.
@@ -32,8 +32,6 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import suffix_dedup
-
     return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
 
 
