@@ -3,8 +3,9 @@
 Sizes fall into bands so narrow that linked sets lie in one band or in neighbours. A band's join bounds the symmetric
 difference of any linked pair by D. Every shingle toggles one bit of a sketch of m parts of 128 bits, so the Hamming
 distance of two sketches is at most the symmetric difference, and sketches at most D apart agree on at least m - D
-parts. A set may leave out up to z parts that hold hardly any shingle; with m = D + 1 + 2z linked sets still share a
-part that both keep. Sets that share a part are candidates, verified on the whole shingle sets.
+parts. A set leaves out its z emptiest parts; with m = D + 1 + 2z linked sets still share a part that both keep. Sets
+that share a part are candidates; a sketch of FOLD bits rules most unrelated ones out by its Hamming distance, and what
+is left is verified on the whole shingle sets.
 
 Equal sets are one class from the start. In a bucket of equal parts each set is first held against the bucket's
 smallest id only; pairs inside a bucket are looked at again only where they are in different components still, so a
@@ -19,7 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -28,7 +29,7 @@ from .components import components
 from .shingles import U, mix, shingle_sets
 
 BITS = 128
-SPARSE = 1
+FOLD = 512
 #: Ids that are broadcast to the scan that fetches candidates' texts; with more, the fetch is a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Distinct sets that a task remembers, so as to send a set's parts once.
@@ -46,7 +47,7 @@ def bands(num: int, den: int) -> tuple[list[int], list[tuple[int, int]]]:
         small = starts[i + 1] - 1
         large = min(starts[i + 2] - 1, small * den // num)
         d = (den - num) * (small + large) // (den + num)
-        z = round(0.05 * d) if d >= 10 else 0
+        z = max(1, round(0.06 * d))
         joins.append((d + 1 + 2 * z if d else 0, z))
     return starts, joins
 
@@ -63,19 +64,24 @@ def part_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
         bits = np.bincount(part * BITS + (hashes & U(BITS - 1)).astype(np.int64), minlength=m * BITS).astype(np.uint8) & 1
         sketch = np.packbits(bits).view(U).reshape(m, 2)
         keep = np.ones(m, bool)
-        if z:
-            keep[np.flatnonzero(np.bincount(part, minlength=m) <= SPARSE)[:z]] = False
+        keep[np.argsort(np.bincount(part, minlength=m), kind="stable")[:z]] = False
         with np.errstate(over="ignore"):
             out.append(mix(mix(sketch[:, 0] + U(i * 2 + 1)) * U(3) + sketch[:, 1] + mix(np.arange(m, dtype=U)))[keep])
     return np.concatenate(out) if out else np.empty(0, U)
 
 
+def fold(hashes: np.ndarray) -> np.ndarray:
+    """Parity sketch of FOLD bits of a whole set."""
+    bits = np.bincount((hashes >> U(9) & U(FOLD - 1)).astype(np.int64), minlength=FOLD).astype(np.uint8) & 1
+    return np.packbits(bits).view(U)
+
+
 def _sketches(width: int, num: int, den: int):
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids, texts = batch.column(0), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            n, f1, f2, keys, ends = [], [], [], [], [0]
+            n, f1, f2, keys, folds, ends = [], [], [], [], [], [0]
             for h in shingle_sets(texts, width):
                 with np.errstate(over="ignore"):
                     f = int(mix(h + U(11)).sum(dtype=U)), int(mix(h ^ U(0x5555555555555555)).sum(dtype=U))
@@ -87,10 +93,13 @@ def _sketches(width: int, num: int, den: int):
                 f1.append(f[0])
                 f2.append(f[1])
                 keys.append(own)
+                folds.append(fold(h))
                 ends.append(ends[-1] + len(own))
             signed = lambda x: pa.array(np.array(x, U).view(np.int64))
             flat = pa.array(np.concatenate([*keys, np.empty(0, U)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), signed(f1), signed(f2), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "n", "f1", "f2", "keys"])
+            words = pa.array(np.concatenate([*folds, np.empty(0, U)]).view(np.int64))
+            whole = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (FOLD // 64), pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), signed(f1), signed(f2), whole, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "n", "f1", "f2", "fold", "keys"])
 
     return run
 
@@ -126,23 +135,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kind = "id long, n long, f1 long, f2 long, keys array<long>"
+    kind = "id long, n long, f1 long, f2 long, fold array<long>, keys array<long>"
     sets = cut(base.mapInArrow(_sketches(width, num, den), kind), "sketches")
-    nodes = sets.filter("id is not null and n > 0").select("id", "n", "f1", "f2")
-    classes = cut(nodes.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
-    member = cut(nodes.select("id", "f1", "f2").distinct().join(classes, ["f1", "f2"]).select("id", "rep", "n"), "members")
+    nodes = sets.filter("id is not null and n > 0").select("id", "n", "f1", "f2", "fold")
+    classes = cut(nodes.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fold").alias("fold")), "classes")
+    member = cut(nodes.select("id", "f1", "f2").distinct().join(classes.drop("fold"), ["f1", "f2"]).select("id", "rep", "n"), "members")
+    reps = classes.select("rep", "n", "fold")
 
     # (key, hub, id) for ids that share a key with a smaller one.
     by_key = Window.partitionBy("key").orderBy("id")
     rows = sets.filter("id is not null").select("id", F.explode("keys").alias("key"))
     shared = cut(rows.withColumn("hub", F.first("id").over(by_key)).filter("hub <> id").distinct(), "shared")
-    as_rep = member.select("id", "rep", "n")
+    def linkable() -> Column:
+        """Sizes and sketches of a and b allow a link."""
+        apart = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(1, FOLD // 64)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
+        sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+        return sizes & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
 
     def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs of ids -> pairs of class representatives whose sizes allow a link."""
-        p = pairs.join(as_rep.toDF("x", "a", "na"), "x").join(as_rep.toDF("y", "b", "nb"), "y")
-        p = p.filter((F.col("a") != F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-        return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """Pairs of ids -> pairs of class representatives that may link."""
+        p = pairs.join(member.select(F.col("id").alias("x"), F.col("rep").alias("a")), "x").join(member.select(F.col("id").alias("y"), F.col("rep").alias("b")), "y")
+        p = p.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return p.join(reps.toDF("a", "na", "fa"), "a").join(reps.toDF("b", "nb", "fb"), "b").filter(linkable()).select("a", "b").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs a, b -> a, b of those that link."""
@@ -173,12 +187,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets that still span components: their members of different components are held against each other.
     in_bucket = shared.select("key", "id").union(shared.select("key", F.col("hub").alias("id"))).distinct()
-    placed = in_bucket.join(as_rep, "id").join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root")).distinct()
+    placed = in_bucket.join(member.select("id", "rep"), "id").join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")).distinct()
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    spread = cut(placed.join(open_keys, "key"), "spread")
-    p, q = spread.toDF("key", "a", "na", "ra"), spread.toDF("key", "b", "nb", "rb")
-    across = p.join(q, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    across = cut(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "across")
+    spread = cut(placed.join(open_keys, "key").join(reps, "rep").select("key", "rep", "root", "n", "fold"), "spread")
+    p, q = spread.toDF("key", "a", "ra", "na", "fa"), spread.toDF("key", "b", "rb", "nb", "fb")
+    across = p.join(q, (p["key"] == q["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & linkable()).select("a", "b").distinct()
+    across = cut(across.join(first, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         links = cut(links.union(verified(across)), "links")
         roots = components(links)
