@@ -30,6 +30,8 @@ from .shingles import U, mix, shingle_sets
 
 BITS = 128
 FOLD = 512
+#: For sets of at least WIDE_FROM shingles, on which a FOLD of random bits is too close, one more sketch.
+WIDE, WIDE_FROM = 4096, 600
 #: Ids that are broadcast to the scan that fetches candidates' texts; with more, the fetch is a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Distinct sets that a task remembers, so as to send a set's parts once.
@@ -70,10 +72,15 @@ def part_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
-def fold(hashes: np.ndarray) -> np.ndarray:
-    """Parity sketch of FOLD bits of a whole set."""
-    bits = np.bincount((hashes >> U(9) & U(FOLD - 1)).astype(np.int64), minlength=FOLD).astype(np.uint8) & 1
-    return np.packbits(bits).view(U)
+def fold(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Parity sketch of a whole set."""
+    odd = np.bincount((hashes >> U(9) & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(U)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(x) for x in arrays])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, U)]).view(np.int64)))
 
 
 def _sketches(width: int, num: int, den: int):
@@ -81,7 +88,7 @@ def _sketches(width: int, num: int, den: int):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids, texts = batch.column(0), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            n, f1, f2, keys, folds, ends = [], [], [], [], [], [0]
+            n, f1, f2, keys, folds, wides = [], [], [], [], [], []
             for h in shingle_sets(texts, width):
                 with np.errstate(over="ignore"):
                     f = int(mix(h + U(11)).sum(dtype=U)), int(mix(h ^ U(0x5555555555555555)).sum(dtype=U))
@@ -93,13 +100,11 @@ def _sketches(width: int, num: int, den: int):
                 f1.append(f[0])
                 f2.append(f[1])
                 keys.append(own)
-                folds.append(fold(h))
-                ends.append(ends[-1] + len(own))
+                folds.append(fold(h, FOLD))
+                wides.append(fold(h, WIDE) if len(h) >= WIDE_FROM else np.empty(0, U))
             signed = lambda x: pa.array(np.array(x, U).view(np.int64))
-            flat = pa.array(np.concatenate([*keys, np.empty(0, U)]).view(np.int64))
-            words = pa.array(np.concatenate([*folds, np.empty(0, U)]).view(np.int64))
-            whole = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (FOLD // 64), pa.int32()), words)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), signed(f1), signed(f2), whole, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "n", "f1", "f2", "fold", "keys"])
+            whole = _lists(folds)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), signed(f1), signed(f2), whole, _lists(wides), _lists(keys)], ["id", "n", "f1", "f2", "fold", "wide", "keys"])
 
     return run
 
@@ -135,28 +140,38 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kind = "id long, n long, f1 long, f2 long, fold array<long>, keys array<long>"
+    kind = "id long, n long, f1 long, f2 long, fold array<long>, wide array<long>, keys array<long>"
     sets = cut(base.mapInArrow(_sketches(width, num, den), kind), "sketches")
-    nodes = sets.filter("id is not null and n > 0").select("id", "n", "f1", "f2", "fold")
-    classes = cut(nodes.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fold").alias("fold")), "classes")
-    member = cut(nodes.select("id", "f1", "f2").distinct().join(classes.drop("fold"), ["f1", "f2"]).select("id", "rep", "n"), "members")
+    nodes = sets.filter("id is not null and n > 0").select("id", "n", "f1", "f2", "fold", "wide")
+    classes = nodes.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fold").alias("fold"), F.first("wide").alias("wide"))
+    classes = cut(classes, "classes")
+    member = cut(nodes.select("id", "f1", "f2").distinct().join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "rep"), "members")
     reps = classes.select("rep", "n", "fold")
+    wide = classes.filter(F.col("n") >= WIDE_FROM).select("rep", "wide")
+    named = classes.select("f1", "rep")
+
+    # (key, hub, f1) for sets that share a key with one of smaller f1. Copies have one f1, so they drop out here.
+    by_key = Window.partitionBy("key").orderBy("f1")
+    rows = sets.filter("id is not null").select("f1", F.explode("keys").alias("key"))
+    shared = cut(rows.withColumn("hub", F.first("f1").over(by_key)).filter("hub <> f1").distinct(), "shared")
 
-    # (key, hub, id) for ids that share a key with a smaller one.
-    by_key = Window.partitionBy("key").orderBy("id")
-    rows = sets.filter("id is not null").select("id", F.explode("keys").alias("key"))
-    shared = cut(rows.withColumn("hub", F.first("id").over(by_key)).filter("hub <> id").distinct(), "shared")
     def linkable() -> Column:
         """Sizes and sketches of a and b allow a link."""
         apart = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(1, FOLD // 64)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
         sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
         return sizes & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
 
+    def near(pairs: DataFrame) -> DataFrame:
+        """a, b without those that the wide sketches rule out."""
+        p = cut(pairs.join(wide.toDF("a", "wa"), "a", "left").join(wide.toDF("b", "wb"), "b", "left").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b"), "near")
+        apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        return p.filter(F.coalesce(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num), F.lit(True))).select("a", "b")
+
     def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs of ids -> pairs of class representatives that may link."""
-        p = pairs.join(member.select(F.col("id").alias("x"), F.col("rep").alias("a")), "x").join(member.select(F.col("id").alias("y"), F.col("rep").alias("b")), "y")
+        """Pairs of f1 -> pairs of class representatives that may link."""
+        p = pairs.join(named.toDF("x", "a"), "x").join(named.toDF("y", "b"), "y")
         p = p.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return p.join(reps.toDF("a", "na", "fa"), "a").join(reps.toDF("b", "nb", "fb"), "b").filter(linkable()).select("a", "b").distinct()
+        return near(p.join(reps.toDF("a", "na", "fa"), "a").join(reps.toDF("b", "nb", "fb"), "b").filter(linkable()).select("a", "b").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs a, b -> a, b of those that link."""
@@ -168,7 +183,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(found.toDF("a", "pa"), "a").join(found.toDF("b", "pb"), "b")
         return both.select("a", "b", "pa", "pb").mapInArrow(_verify(width, num, den), "a long, b long, ok boolean").filter("ok").select("a", "b").distinct()
 
-    first = cut(sized(shared.select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()), "pairs")
+    # Sets whose 64-bit f1 collide stand under one name above, so they are held against each other too.
+    clash = named.groupBy("f1").count().filter("count > 1").select(F.col("f1").alias("x"), F.col("f1").alias("y"))
+    first = cut(sized(shared.select(F.col("hub").alias("x"), F.col("f1").alias("y")).distinct().union(clash)), "pairs")
     one = F.row_number().over(Window.partitionBy("b").orderBy("a"))
     start = cut(first.withColumn("_k", one).filter("_k = 1").drop("_k"), "start")
     twice = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
@@ -186,13 +203,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links)
 
     # Buckets that still span components: their members of different components are held against each other.
-    in_bucket = shared.select("key", "id").union(shared.select("key", F.col("hub").alias("id"))).distinct()
-    placed = in_bucket.join(member.select("id", "rep"), "id").join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")).distinct()
+    in_bucket = shared.select("key", "f1").union(shared.select("key", F.col("hub").alias("f1"))).distinct()
+    placed = in_bucket.join(named, "f1").join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")).distinct()
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     spread = cut(placed.join(open_keys, "key").join(reps, "rep").select("key", "rep", "root", "n", "fold"), "spread")
     p, q = spread.toDF("key", "a", "ra", "na", "fa"), spread.toDF("key", "b", "rb", "nb", "fb")
     across = p.join(q, (p["key"] == q["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & linkable()).select("a", "b").distinct()
-    across = cut(across.join(first, ["a", "b"], "left_anti"), "across")
+    across = cut(near(across.join(first, ["a", "b"], "left_anti")), "across")
     if not across.isEmpty():
         links = cut(links.union(verified(across)), "links")
         roots = components(links)
