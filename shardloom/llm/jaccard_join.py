@@ -205,10 +205,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets that still span components: their members of different components are held against each other.
     in_bucket = shared.select("key", "f1").union(shared.select("key", F.col("hub").alias("f1"))).distinct()
     placed = in_bucket.join(named, "f1").join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")).distinct()
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    spread = cut(placed.join(open_keys, "key").join(reps, "rep").select("key", "rep", "root", "n", "fold"), "spread")
-    p, q = spread.toDF("key", "a", "ra", "na", "fa"), spread.toDF("key", "b", "rb", "nb", "fb")
-    across = p.join(q, (p["key"] == q["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & linkable()).select("a", "b").distinct()
+    # A bucket's largest component is never held against itself: the others' members meet all of the bucket, so the work
+    # is the product of the two counts, not the square of the bucket.
+    per_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    open_keys = per_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.count("*").alias("roots")).filter("roots > 1").select("key", "big")
+    spread = cut(placed.join(open_keys, "key").join(reps, "rep").select("key", "rep", "root", "n", "fold", "big"), "spread")
+    p = spread.filter("root <> big").drop("big").toDF("key", "a", "ra", "na", "fa")
+    q = spread.withColumn("big", F.col("root") == F.col("big")).toDF("key", "b", "rb", "nb", "fb", "big")
+    across = p.join(q, (p["key"] == q["key"]) & (F.col("ra") != F.col("rb")) & (F.col("big") | (F.col("a") < F.col("b"))) & linkable())
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     across = cut(near(across.join(first, ["a", "b"], "left_anti")), "across")
     if not across.isEmpty():
         links = cut(links.union(verified(across)), "links")
