@@ -5,7 +5,7 @@ one nearest to taking each document once in relative entropy: r = min(MOST, exp(
 lam_s come from safeguarded Newton steps; each step is one aggregation over (source, size) counts, which hold all that
 the duals need. Rates become copies by carrying the rounding error along each source's sizes, and what words are then
 missing or over are made up from the largest size that still fits, so a source ends within its smallest size of its
-target unless capacity runs out.
+target unless capacity runs out. Copies are whole: a source that is mostly one long text can miss by up to that text.
 """
 
 from __future__ import annotations

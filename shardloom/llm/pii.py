@@ -25,7 +25,7 @@ KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
 RUN = re.compile(r"[0-9+(][0-9 ().+/\-]*[0-9]")
 NUMBERS = re.compile(
-    r"(?<![\w@/])(?:"
+    r"(?<![\w@/])(?<![0-9]\.)(?:"
     r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"

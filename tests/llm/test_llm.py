@@ -129,7 +129,11 @@ def test_mix(docs):
         s = of[r["doc_id"]]
         assert r["source_size"] == total[s] and abs(r["target"] - goal[s]) < 1e-6 * goal[s] and 0 <= r["taken"] <= 2 * r["size"]
         taken[s] = taken.get(s, 0) + r["taken"]
-    assert len(got) == len(rows) and all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] + 5 for s in goal)
+    assert len(got) == len(rows)
+    for s in goal:
+        # Copies are whole: a source that is mostly one text can miss its target by up to that text.
+        largest = max(size(t) for _, t, _, k, *_ in rows if k == s)
+        assert abs(taken[s] - goal[s]) <= (largest if 2 * largest > total[s] else 0.02 * goal[s] + 5)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(2)).collect()))
 
 
