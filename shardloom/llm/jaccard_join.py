@@ -162,16 +162,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return sizes & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """a, b without those that the wide sketches rule out."""
-        p = cut(pairs.join(wide.toDF("a", "wa"), "a", "left").join(wide.toDF("b", "wb"), "b", "left").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b"), "near")
+        """pairs a, b, na, nb -> a, b of those that the wide sketches allow. Only pairs of two large sets meet them."""
+        pairs = cut(pairs.select("a", "b", "na", "nb").distinct(), "near")
+        large = F.least("na", "nb") >= WIDE_FROM
+        p = pairs.filter(large).join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b")
         apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        return p.filter(F.coalesce(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num), F.lit(True))).select("a", "b")
+        allowed = p.filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+        return allowed.union(pairs.filter(~large).select("a", "b"))
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs of f1 -> pairs of class representatives that may link."""
         p = pairs.join(named.toDF("x", "a"), "x").join(named.toDF("y", "b"), "y")
         p = p.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return near(p.join(reps.toDF("a", "na", "fa"), "a").join(reps.toDF("b", "nb", "fb"), "b").filter(linkable()).select("a", "b").distinct())
+        return near(p.join(reps.toDF("a", "na", "fa"), "a").join(reps.toDF("b", "nb", "fb"), "b").filter(linkable()))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs a, b -> a, b of those that link."""
@@ -203,8 +206,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links)
 
     # Buckets that still span components: their members of different components are held against each other.
-    in_bucket = shared.select("key", "f1").union(shared.select("key", F.col("hub").alias("f1"))).distinct()
-    placed = in_bucket.join(named, "f1").join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")).distinct()
+    # A bucket spans several where a member's component isn't its hub's; the others are left out before anything is grouped.
+    rooted = cut(named.join(roots.toDF("rep", "root"), "rep", "left").select("f1", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+    member_of = shared.join(rooted, "f1").join(rooted.toDF("hub", "hub_rep", "hub_root"), "hub")
+    split = cut(member_of.filter("root <> hub_root").select("key").distinct(), "split")
+    here = shared.join(split, "key", "left_semi")
+    here = here.select("key", "f1").union(here.select("key", F.col("hub").alias("f1"))).distinct()
+    placed = cut(here.join(rooted, "f1").select("key", "rep", "root").distinct(), "placed")
     # A bucket's largest component is never held against itself: the others' members meet all of the bucket, so the work
     # is the product of the two counts, not the square of the bucket.
     per_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -213,8 +221,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     p = spread.filter("root <> big").drop("big").toDF("key", "a", "ra", "na", "fa")
     q = spread.withColumn("big", F.col("root") == F.col("big")).toDF("key", "b", "rb", "nb", "fb", "big")
     across = p.join(q, (p["key"] == q["key"]) & (F.col("ra") != F.col("rb")) & (F.col("big") | (F.col("a") < F.col("b"))) & linkable())
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = cut(near(across.join(first, ["a", "b"], "left_anti")), "across")
+    turned = F.col("a") > F.col("b")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+    across = cut(near(across.distinct().join(first, ["a", "b"], "left_anti")), "across")
     if not across.isEmpty():
         links = cut(links.union(verified(across)), "links")
         roots = components(links)
