@@ -32,6 +32,8 @@ BITS = 128
 FOLD = 512
 #: For sets of at least WIDE_FROM shingles, on which a FOLD of random bits is too close, one more sketch.
 WIDE, WIDE_FROM = 4096, 600
+#: Bits of a bucket's key. Keys that fall together by chance only add candidates, and each bit less is moved with every part.
+KEY_BITS = 48
 #: Ids that are broadcast to the scan that fetches candidates' texts; with more, the fetch is a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Distinct sets that a task remembers, so as to send a set's parts once.
@@ -68,7 +70,7 @@ def part_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
         keep = np.ones(m, bool)
         keep[np.argsort(np.bincount(part, minlength=m), kind="stable")[:z]] = False
         with np.errstate(over="ignore"):
-            out.append(mix(mix(sketch[:, 0] + U(i * 2 + 1)) * U(3) + sketch[:, 1] + mix(np.arange(m, dtype=U)))[keep])
+            out.append(mix(mix(sketch[:, 0] + U(i * 2 + 1)) * U(3) + sketch[:, 1] + mix(np.arange(m, dtype=U)))[keep] >> U(64 - KEY_BITS))
     return np.concatenate(out) if out else np.empty(0, U)
 
 
@@ -170,11 +172,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         allowed = p.filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
         return allowed.union(pairs.filter(~large).select("a", "b"))
 
+    def ordered(pairs: DataFrame) -> DataFrame:
+        """a, b, na, nb with a < b."""
+        turned = F.col("a") > F.col("b")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs of f1 -> pairs of class representatives that may link."""
-        p = pairs.join(named.toDF("x", "a"), "x").join(named.toDF("y", "b"), "y")
-        p = p.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return near(p.join(reps.toDF("a", "na", "fa"), "a").join(reps.toDF("b", "nb", "fb"), "b").filter(linkable()))
+        known = classes.select("f1", "rep", "n", "fold")
+        p = pairs.join(known.toDF("x", "a", "na", "fa"), "x").join(known.toDF("y", "b", "nb", "fb"), "y")
+        return near(ordered(p.filter("a <> b").filter(linkable())))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs a, b -> a, b of those that link."""
@@ -209,10 +216,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A bucket spans several where a member's component isn't its hub's; the others are left out before anything is grouped.
     rooted = cut(named.join(roots.toDF("rep", "root"), "rep", "left").select("f1", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
     member_of = shared.join(rooted, "f1").join(rooted.toDF("hub", "hub_rep", "hub_root"), "hub")
+    member_of = cut(member_of.select("key", "rep", "root", "hub_rep", "hub_root"), "member_of")
     split = cut(member_of.filter("root <> hub_root").select("key").distinct(), "split")
-    here = shared.join(split, "key", "left_semi")
-    here = here.select("key", "f1").union(here.select("key", F.col("hub").alias("f1"))).distinct()
-    placed = cut(here.join(rooted, "f1").select("key", "rep", "root").distinct(), "placed")
+    both = F.explode(F.array(F.struct("rep", "root"), F.struct(F.col("hub_rep").alias("rep"), F.col("hub_root").alias("root"))))
+    placed = cut(member_of.join(split, "key", "left_semi").select("key", both.alias("x")).select("key", "x.*").distinct(), "placed")
     # A bucket's largest component is never held against itself: the others' members meet all of the bucket, so the work
     # is the product of the two counts, not the square of the bucket.
     per_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -221,9 +228,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     p = spread.filter("root <> big").drop("big").toDF("key", "a", "ra", "na", "fa")
     q = spread.withColumn("big", F.col("root") == F.col("big")).toDF("key", "b", "rb", "nb", "fb", "big")
     across = p.join(q, (p["key"] == q["key"]) & (F.col("ra") != F.col("rb")) & (F.col("big") | (F.col("a") < F.col("b"))) & linkable())
-    turned = F.col("a") > F.col("b")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-    across = cut(near(across.distinct().join(first, ["a", "b"], "left_anti")), "across")
+    across = cut(near(ordered(across).distinct().join(first, ["a", "b"], "left_anti")), "across")
     if not across.isEmpty():
         links = cut(links.union(verified(across)), "links")
         roots = components(links)
