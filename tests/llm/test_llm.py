@@ -316,3 +316,15 @@ def test_pipeline(spark):
         assert docs.columns == first.columns, name
     assert 0 < docs.count()
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_trimmed_copies_of_many_sizes_link(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i, n in enumerate([96, 103, 104, 110, 290, 303, 310, 330, 590, 610, 640]):
+        words = [f"w{i}x{rng.randrange(10**6)}" for _ in range(n)]
+        for j, kept in enumerate([n, n - 4, n - 9, n - n // 10]):
+            rows.append((i * 10 + j, " ".join(words[:kept])))
+            want[i * 10 + j] = i * 10
+    got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), width=4, num=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
