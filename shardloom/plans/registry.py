@@ -270,8 +270,12 @@ def closure_levels(s, d):
 _TREE = "(select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem where l_orderkey % 97 = 5)"
 
 
+def _refs(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+
+
 def _tree(s, d):
-    return table(s, d, "lineitem").filter("l_orderkey % 97 = 5").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    return _refs(table(s, d, "lineitem").filter("l_orderkey % 97 = 5"))
 
 
 @query(f"with r as (select src as node, 1 as c from (select distinct src from {_TREE}) union all select dst, 1 from {_TREE}) select node, count(*) as refs, not (node[1] = 'p' and substr(node, 2)::bigint % 5 = 0) as is_new from r group by node")
@@ -304,7 +308,7 @@ def merkle_fold(s, d):
 
 @query()
 def merkle_levels(s, d):
-    t = _tree(s, d)
+    t = _refs(table(s, d, "lineitem"))
     nodes = t.select(F.col("src").alias("node")).union(t.select("dst")).distinct().withColumn("data", F.col("node"))
     return graph.merkle_levels(nodes, t.withColumn("ord", F.col("dst")))
 

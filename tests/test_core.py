@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,17 @@ def test_merkle_levels_rejects_missing_child(spark):
         graph.merkle_levels(nodes, edges)
 
 
+def test_merkle_levels_takes_all_of_lineitem(spark):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    kids = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        kids.setdefault(f"o{r[0]}", set()).add(f"p{r[1]}")
+    want = {p: (sha(p), 1, 0) for ps in kids.values() for p in ps}
+    want |= {o: (sha(o + "".join(sha(p) for p in sorted(ps))), 1 + len(ps), 1) for o, ps in kids.items()}
+    got = registry.QUERIES["merkle_levels"](spark, SF).collect()
+    assert {r["node"]: (r["digest"], r["cells"], r["height"]) for r in got} == want and len(got) == len(want)
+
+
 def test_ordered_sink_stream(spark, tmp_path):
     state, applied = [(0, None)], []
     sink = ingest.OrderedSink(lambda: state[0], lambda s, h: state.__setitem__(0, (s, h)), lambda df, i: applied.extend(r["seq_no"] for r in df.collect()))
