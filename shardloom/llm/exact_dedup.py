@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep_ids, lower_ascii
+from .common import cut, lower_ascii, sized
 
 CAPACITY = 100_000
 
@@ -23,6 +23,10 @@ def _prefix(h: Column, depth: int) -> Column:
     return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
 
 
+def _norm(text_col: str) -> Column:
+    return lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+
+
 class Directory:
     """Buckets as (depth, prefix of the key). splits[i] holds the prefixes that were overfull at depth start + i."""
 
@@ -73,7 +77,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal text are all marked alike (a repeated largest id is kept as often as it occurs); a null id is kept only
     where its whole group has null ids. An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    rows = docs.select(F.col(id_col).alias("id"), _norm(text_col).alias("norm")).withColumn("h", F.xxhash64("norm"))
     entries = cut(rows.select("id", "h", F.sha2("norm", 256).alias("sha")), "entries")
     directory = Directory.build(entries.select("h").distinct(), capacity)
     index = cut(build_index(rows, directory), "index")
@@ -85,7 +89,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies, all columns kept; of rows that repeat the kept id one stays."""
-    kept = cut(exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col)), "kept")
-    found = keep_ids(docs, kept, id_col)
-    return found if kept.groupBy(id_col).count().filter("count > 1").isEmpty() else found.dropDuplicates([id_col])
+    """docs without the copies, all columns kept; of rows that repeat the kept id with an equal text one stays.
+
+    Rows are told apart by id and text: what shares an id, or has none, but differs in text is judged by its own group.
+    """
+    kept = cut(exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha")), "kept")
+    pairs = cut(kept.groupBy("_id", "_sha").count(), "pairs")
+    rows = docs.withColumn("_own", F.unhex(F.sha2(_norm(text_col), 256)))
+    found = rows.join(sized(pairs.select("_id", "_sha")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    return (found if pairs.filter("count > 1").isEmpty() else found.dropDuplicates([id_col, "_own"])).drop("_own")

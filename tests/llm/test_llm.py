@@ -64,6 +64,13 @@ def test_exact_groups(docs):
     assert kept.columns == df.columns and kept.count() == len({t for _, t in norm})
 
 
+def test_drop_copies_goes_by_id_and_text(spark):
+    rows = [(None, "one"), (None, "two"), (None, "ONE"), (None, None), (7, "three"), (7, "four"), (7, "Four"), (8, "five"), (8, "six"), (9, "five"), (None, "five")]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in kept.collect())
+    assert got == sorted([("None", "one"), ("None", "two"), ("None", ""), ("7", "three"), ("7", "four"), ("8", "six"), ("9", "five")])
+
+
 def shingles(t, n):
     w = WORD.findall((t or "").translate(LOW))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
