@@ -6,7 +6,7 @@ parting equal windows. Each anchor has a run of windows in a document; runs that
 settled as wholes, by the smallest id that has them. Runs that differ under one anchor are open: their text is suffix
 sorted by the difference-cover algorithm (sort the triples at two of three places, recurse on their names, merge the
 suffixes at the third), and neighbours with a common prefix of LENGTH bytes are equal windows. An anchor with so many
-different runs that no task should hold them gives its windows one by one, sorted by Spark.
+open runs, or bytes of them, that no task should hold them gives its windows one by one, sorted by Spark.
 """
 
 from __future__ import annotations
@@ -24,11 +24,19 @@ from .common import cut
 from .shingles import U
 
 LENGTH = 50
-#: Different runs of an anchor above which its windows are sorted by Spark, and bytes that are suffix sorted at once.
+#: Runs, and bytes of them, of an anchor above which its windows are sorted by Spark, and bytes that are suffix sorted at once.
 HOT_RUNS = 10_000
+HOT_BYTES = 1_000_000
 SORT_BYTES = 1_000_000
 FULL, OPEN, HOT = 0, 1, 2
-PIECES = "doc long, th long, kind int, a long, pos int, data binary, starts array<int>, ends array<int>"
+PIECES = "doc long, th long, kind int, a long, data binary, starts array<int>, ends array<int>"
+
+
+def _triples(first: np.ndarray, second: np.ndarray, third: np.ndarray, bits: int) -> np.ndarray:
+    """Keys in the order of the triples, whose numbers have at most bits bits; pairs are ranked first where three don't fit."""
+    if 3 * bits <= 63:
+        return (first << 2 * bits) | (second << bits) | third
+    return (np.unique((first << bits) | second, return_inverse=True)[1] << bits) | third
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -40,7 +48,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     ones = np.arange(1, n + (n % 3 == 1), 3)  # one past the end where the last third place would have no neighbour
     twos = np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    key = (t[sample] << 42) | (t[sample + 1] << 21) | t[np.minimum(sample + 2, n + 2)]
+    bits = max(int(t.max()), len(sample) + 1).bit_length()
+    key = _triples(t[sample], t[sample + 1], t[np.minimum(sample + 2, n + 2)], bits)
     order = np.argsort(key, kind="stable")
     name = np.empty(len(sample), np.int64)
     name[order] = np.cumsum(np.append(True, key[order][1:] != key[order][:-1]))
@@ -57,8 +66,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     one_key = lambda i: t[i] * big + rank[i + 1]
     zeros = zeros[np.argsort(one_key(zeros), kind="stable")]
     of_one, of_two = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
-    two_key = lambda i: (t[i] << 42) | (t[i + 1] << 21) | rank[i + 2]
-    before = np.searchsorted(one_key(of_one), one_key(zeros)) + np.searchsorted(two_key(of_two), two_key(zeros))
+    both = np.concatenate([of_two, zeros])
+    two_key = _triples(t[both], t[both + 1], rank[both + 2], bits)
+    before = np.searchsorted(one_key(of_one), one_key(zeros)) + np.searchsorted(two_key[: len(of_two)], two_key[len(of_two) :])
     at = before + np.arange(len(zeros))
     out = np.empty(n, np.int64)
     taken = np.zeros(n, bool)
@@ -114,14 +124,20 @@ def _text_runs(text: bytes, length: int):
 
 
 def _scan(length: int):
-    """doc, text -> a, s, doc of every run."""
+    """doc, text -> a, s, doc of every different run of a text."""
+
+    def different(a: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((s, a))
+        a, s = a[order], s[order]
+        first = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))
+        return a[first], s[first]
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids = part.column(0).to_pylist()
-                got = [(i, *_text_runs(t, length)[:2]) for i, t in zip(ids, _bytes(part, 1), strict=True) if len(t) >= length]
+                got = [(i, *different(*_text_runs(t, length)[:2])) for i, t in zip(ids, _bytes(part, 1), strict=True) if len(t) >= length]
                 if got:
                     d = np.concatenate([np.full(len(a), i, np.int64) for i, a, _ in got])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in got]).view(np.int64)) for k in (1, 2)] + [pa.array(d)], ["a", "s", "doc"])
@@ -130,7 +146,10 @@ def _scan(length: int):
 
 
 def _pieces(length: int):
-    """doc, th, text, full, open, hot (hashes of runs) -> the full runs' places; the open runs' and hot windows' bytes."""
+    """doc, th, text, full, open, hot (hashes of runs) -> the full runs' places; the open runs' and hot windows' bytes.
+
+    An open run or a hot window comes once a text, with all of its places as starts.
+    """
 
     def run(batches):
         for batch in batches:
@@ -145,11 +164,13 @@ def _pieces(length: int):
                 mine = [np.isin(s, np.array(kind[r], np.int64).view(U)) for kind in lists]
                 full = np.flatnonzero(mine[FULL])
                 if len(full):
-                    out.append((ids[r], th[r], FULL, None, None, None, b[full].tolist(), e[full].tolist()))
-                for i in np.flatnonzero(mine[OPEN]).tolist():
-                    out.append((ids[r], th[r], OPEN, int(a[i].view(np.int64)), int(b[i]), text[b[i] : e[i] + length - 1], None, None))
-                for i in np.flatnonzero(mine[HOT]).tolist():
-                    out += [(ids[r], th[r], HOT, int(a[i].view(np.int64)), p, text[p : p + length], None, None) for p in range(b[i], e[i])]
+                    out.append((ids[r], th[r], FULL, None, None, b[full].tolist(), e[full].tolist()))
+                for kind in (OPEN, HOT):
+                    places: dict[tuple[int, bytes], list[int]] = {}
+                    for i in np.flatnonzero(mine[kind]).tolist():
+                        for p, q in [(b[i], e[i])] if kind == OPEN else ((p, p + 1) for p in range(b[i], e[i])):
+                            places.setdefault((int(a[i].view(np.int64)), text[p : q + length - 1]), []).append(int(p))
+                    out += [(ids[r], th[r], kind, anchor, data, at, None) for (anchor, data), at in places.items()]
                 held += len(text)
                 if held > 1 << 20:
                     yield _rows(out)
@@ -161,20 +182,20 @@ def _pieces(length: int):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     names = [c.split()[0] for c in PIECES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
 
 def _sort(length: int):
-    """a, doc, th, pos, data by anchor -> doc, th, starts, ends of windows that a smaller doc has."""
+    """a, doc, th, places, data by anchor -> doc, th, starts, ends of windows that a smaller doc has."""
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
         docs = np.array([x[1] for x in held], np.int64)
         out = []
         for x, hit in zip(held, repeated([x[4] for x in held], docs, length), strict=True):
             if len(hit):
-                out.append((x[1], x[2], *_ranges(hit + x[3])))
+                out.append((x[1], x[2], *_ranges(np.unique(np.add.outer(np.array(x[3], np.int64), hit)))))
         ints = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), ints, ints))], ["doc", "th", "starts", "ends"])
 
@@ -206,19 +227,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     rows = rows.withColumn("new", new_run)
     # The first row of a run has its smallest id; carried along the run it settles the others.
     carried = F.last(F.when(F.col("new") == 1, F.col("doc")), ignorenulls=True).over(by_run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("least", carried).withColumns({"n_runs": F.sum("new").over(by_anchor), "lo": F.min("doc").over(by_anchor), "hi": F.max("doc").over(by_anchor)})
-    kind = F.when(F.col("least") < F.col("doc"), FULL).when((F.col("n_runs") > 1) & (F.col("lo") < F.col("hi")), F.when(F.col("n_runs") > hot_runs, HOT).otherwise(OPEN))
+    rows = rows.withColumn("least", carried).withColumns({"n_runs": F.sum("new").over(by_anchor), "n_open": F.sum((F.col("least") == F.col("doc")).cast("long")).over(by_anchor), "lo": F.min("doc").over(by_anchor), "hi": F.max("doc").over(by_anchor)})
+    # A run has fewer than 2 * length bytes.
+    hot = (F.col("n_open") > hot_runs) | (F.col("n_open") * (2 * length) > HOT_BYTES)
+    kind = F.when(F.col("least") < F.col("doc"), FULL).when((F.col("n_runs") > 1) & (F.col("lo") < F.col("hi")), F.when(hot, HOT).otherwise(OPEN))
     flags = cut(rows.withColumn("kind", kind).filter("kind is not null").select("doc", "s", "kind"), "runs")
     pick = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("s")))
     lists = flags.groupBy("doc").agg(pick(FULL).alias("full"), pick(OPEN).alias("open"), pick(HOT).alias("hot"))
     joined = base.withColumn("th", F.xxhash64("text")).join(lists, "doc").select("doc", "th", "text", "full", "open", "hot")
     pieces = cut(joined.mapInArrow(_pieces(length), PIECES), "pieces")
     marks = "doc long, th long, starts array<int>, ends array<int>"
-    open_runs = pieces.filter(F.col("kind") == OPEN).select("a", "doc", "th", "pos", "data").repartition("a").sortWithinPartitions("a")
+    open_runs = pieces.filter(F.col("kind") == OPEN).select("a", "doc", "th", "starts", "data").repartition("a").sortWithinPartitions("a")
     sorted_runs = open_runs.mapInArrow(_sort(length), marks)
     by_window = Window.partitionBy("data").orderBy("doc")
     hot = pieces.filter(F.col("kind") == HOT).withColumn("least", F.first("doc").over(by_window)).filter("least < doc")
-    hot = hot.select("doc", "th", F.array("pos").alias("starts"), F.array(F.col("pos") + 1).alias("ends"))
+    hot = hot.select("doc", "th", "starts", F.transform("starts", lambda x: x + 1).alias("ends"))
     found = pieces.filter(F.col("kind") == FULL).select("doc", "th", "starts", "ends").unionByName(sorted_runs).unionByName(hot)
     return cut(found, "marks")
 

@@ -176,6 +176,29 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(np.array(x, np.int64)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+def test_suffix_array_of_millions():
+    x = np.random.default_rng(9).integers(1, 3, 3_300_000)
+    sa = suffix_dedup.suffix_array(x)
+    rank = np.zeros(len(x) + 1, np.int64)
+    rank[sa] = np.arange(1, len(x) + 1)
+    assert (np.sort(sa) == np.arange(len(x))).all()
+    assert ((x[sa[1:]] > x[sa[:-1]]) | (x[sa[1:]] == x[sa[:-1]]) & (rank[sa[1:] + 1] > rank[sa[:-1] + 1])).all()
+
+
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_suffix_dedup_takes_a_texts_equal_runs_once(spark, hot, monkeypatch):
+    line = "the same line of a page, over and over again, 1234567\n"
+    rows = [(1, "a" + "=" * 3000 + "b" + line * 200), (2, "c" + "=" * 70 + "d" + "=" * 2000), (3, line * 30 + "e" + "=" * 55), (2, "f" + "=" * 60 + line * 3)]
+    found, pieces = suffix_dedup.repeats, []
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda *a: found(*a, hot_runs=hot))
+    cut = suffix_dedup.cut
+    monkeypatch.setattr(suffix_dedup, "cut", lambda df, name: pieces.append(cut(df, name)) or pieces[-1])
+    got = suffix_dedup.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(removed(rows, 50))
+    open_runs = [(r["doc"], r["th"], bytes(r["data"])) for r in pieces[1].filter("kind <> 0").collect()]
+    assert open_runs and sum(d[2] == b"=" * 50 for d in open_runs) <= 3
+
+
 def test_anchor_runs():
     rng = random.Random(3)
     for _ in range(60):
