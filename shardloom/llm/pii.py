@@ -24,19 +24,22 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
 RUN = re.compile(r"[0-9+(][0-9 ().+/\-]*[0-9]")
-NUMBERS = re.compile(
-    r"(?<![\w@/])(?<![0-9]\.)(?:"
-    r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
-    r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})"
-    r"|(?P<phone>\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}([-. ])[0-9]{3}\6[0-9]{4})"
-    r")(?![\w@]|-[0-9])",
-    re.ASCII,
-)
+NUMBERS = {
+    "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+    "phone": r"(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}(?P<mark>[-. ])[0-9]{3}(?P=mark)[0-9]{4})",
+}
+HEAD, TAIL = r"(?<![\w@/])(?<![0-9]\.)", r"(?![\w@]|-[0-9])"
+NUMBER = re.compile(f"{HEAD}(?:{'|'.join(NUMBERS.values())}){TAIL}", re.ASCII)
+EACH = {k: re.compile(f"{v}{TAIL}", re.ASCII) for k, v in NUMBERS.items()}
+AFTER = re.compile(TAIL, re.ASCII)
 LOCAL = re.compile(r"[\w.%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
+CAPITALS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+(?![A-Za-z0-9])")
+
 
 
 class Feistel:
@@ -125,10 +128,12 @@ class Pseudonyms:
         def check(country: str, body: str) -> int:
             return int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
 
-        if (check(v[:2], v[4:]) + int(v[2:4])) % 97 != 1:
+        like, v = v, v.replace(" ", "")
+        if not 15 <= len(v) <= 34 or (check(v[:2], v[4:]) + int(v[2:4])) % 97 != 1:
             return None
         body = self._whole(v[4:], b"iban" + v[:2].encode())
-        return f"{v[:2]}{98 - check(v[:2], body):02d}{body}"
+        it = iter(f"{v[:2]}{98 - check(v[:2], body):02d}{body}")
+        return "".join(c if c == " " else next(it) for c in like)
 
     def ip(self, v: str) -> str | None:
         parts = [int(p) for p in v.split(".")]
@@ -200,6 +205,57 @@ class Pseudonyms:
         area = digits[kept] > "1"
         return _spread(digits[:kept] + self._whole(digits[kept:], b"phone" + digits[:kept].encode(), lambda s: (s[0] > "1") == area), v)
 
+    def _ibans(self, text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of what is validated in text[lo:hi]; of the blanks where it can end the last that fits."""
+        out, at = [], lo
+        while m := IBAN.search(text, at, hi):
+            ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]
+            end = next((e for e in ends if self.iban(text[m.start() : e])), None)
+            if end:
+                out.append((m.start(), end, "iban"))
+            at = end or m.start() + 1
+        return out
+
+    def _number(self, text: str, at: int, end: int) -> tuple[int, int, str] | None:
+        """What is validated from at on: the kinds in order, each at its longest, then with fewer groups of digits."""
+        for kind, pattern in EACH.items():
+            stop = end
+            while m := pattern.match(text, at, stop):
+                if AFTER.match(text, m.end(), end) and getattr(self, kind)(m[0]) is not None:
+                    return at, m.end(), kind
+                stop = at + len(m[0].rstrip(")").rstrip("0123456789").rstrip(" .(-/+"))
+        return None
+
+    def _numbers(self, text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+        out, at, end = [], lo, min(len(text), hi + 2)
+        while m := NUMBER.search(text, at, end):
+            hit = self._number(text, m.start(), end)
+            if hit:
+                out.append(hit)
+            at = hit[1] if hit else m.start() + 1
+        return out
+
+    def _renamed(self, text: str, lo: int, hi: int, split: Callable[[str, int, int], list[tuple[int, int, str]]]) -> list[tuple[int, int, str, str]]:
+        """What split finds in text[lo:hi], with pseudonyms.
+
+        Digits beside a value can turn valid together with its pseudonym. All values walk on until split finds them where
+        they are, which keeps the text invertible.
+        """
+        spans = split(text, lo, hi)
+        values = [text[s:e] for s, e, _ in spans]
+        while spans:
+            values = [getattr(self, kind)(v) for (_, _, kind), v in zip(spans, values, strict=True)]
+            new, at, want = text[max(0, lo - 2) : lo], lo, []
+            first = len(new)
+            for (s, e, kind), v in zip(spans, values, strict=True):
+                new += text[at:s]
+                want.append((len(new), len(new) + len(v), kind))
+                new, at = new + v, e
+            new += text[at:hi]
+            if split(new + text[hi : hi + 2], first, len(new)) == want:
+                break
+        return [(*span, v) for span, v in zip(spans, values, strict=True)]
+
     def found(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of what is validated, in order and apart."""
         out: list[tuple[int, int, str, str]] = []
@@ -212,18 +268,15 @@ class Pseudonyms:
                 if start < at:
                     out.append((start, at, "email", self.email(text[start:at])))
             at = text.find("@", at + 1)
-        out += [(m.start(), m.end(), "iban", p) for m in IBAN.finditer(text) if (p := self.iban(m[0]))]
-        taken = [(a, b) for a, b, _, _ in out]
-        for run in RUN.finditer(text):
-            at, end = run.start(), min(len(text), run.end() + 2)
-            while m := NUMBERS.search(text, at, end):
-                kind = m.lastgroup
-                new = getattr(self, kind)(m[kind])
-                if new is None and kind == "card":
-                    new, kind = None, "card"
-                if new is not None and not any(a < m.end() and m.start() < b for a, b in taken):
-                    out.append((m.start(), m.end(), kind, new))
-                at = m.end()
+        for m in CAPITALS.finditer(text):
+            out += self._renamed(text, m.start(), m.end(), self._ibans)
+        parts, at = [], 0
+        for a, b, *_ in sorted(out):
+            parts += [text[at:a], "x" * (b - max(a, at))]
+            at = max(at, b)
+        rest = "".join([*parts, text[at:]])  # no number overlaps what is taken
+        for m in RUN.finditer(rest):
+            out += self._renamed(rest, m.start(), m.end(), self._numbers)
         return sorted(out)
 
     def apply(self, text: str) -> tuple[str, dict[str, int]]:

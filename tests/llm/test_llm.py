@@ -329,6 +329,24 @@ def test_pii(spark):
     assert back == dict(rows)
 
 
+def test_pii_beside_other_numbers(spark):
+    rows = [
+        (1, "Order 12 4111 1111 1111 1111."), (2, "on 10 2024-01-05 2024-01-06"), (3, "to DE89 3704 0044 0532 0130 00 and DE89370400440532013000, not GB82 WEST 1234 5698 7654 33"),
+        (4, "4111 1111 1111 1111 123"), (5, "743-555-3824 123 456 789"), (6, "ES91 2100 0418 4502 0005 1332 AND MORE"), (7, "99 123-45-6789 0000 0000 0000"),
+    ]
+    rows += [(100 + i, f"{i} 4111 1111 1111 1111 {i} 5500 0000 0000 0004 {i}") for i in range(400)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"key").cache()
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["n_card"] == 1 and "4111 1111" not in got[1]["text"] and got[1]["text"].startswith("Order 12 ")
+    assert got[2]["n_date"] == 2 and got[2]["text"].startswith("on 10 ") and "2024-01-05" not in got[2]["text"] and "2024-01-06" not in got[2]["text"]
+    assert got[3]["n_iban"] == 2 and got[3]["text"].endswith("not GB82 WEST 1234 5698 7654 33")
+    spaced, whole = re.fullmatch(r"to (.*) and (.*), not .*", got[3]["text"]).groups()
+    assert spaced.replace(" ", "") == whole and re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", spaced)
+    assert got[4]["n_card"] == 1 and got[5]["n_phone"] == 1 and got[6]["n_iban"] == 1 and got[6]["text"].endswith(" AND MORE") and got[7]["n_ssn"] == 1
+    assert all("4111 1111 1111 1111" not in r["text"] and "5500 0000 0000 0004" not in r["text"] for r in got.values())
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, b"key", back=True).collect()} == dict(rows)
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     for n in (1, 2, 7, 100, 365):
