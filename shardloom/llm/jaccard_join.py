@@ -91,13 +91,15 @@ def _sketches(width: int, num: int, den: int):
         for batch in batches:
             ids, texts = batch.column(0), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             n, f1, f2, keys, folds, wides = [], [], [], [], [], []
-            for h in shingle_sets(texts, width):
+            for i, h in zip(ids.to_pylist(), shingle_sets(texts, width), strict=True):
                 with np.errstate(over="ignore"):
                     f = int(mix(h + U(11)).sum(dtype=U)), int(mix(h ^ U(0x5555555555555555)).sum(dtype=U))
-                own = part_keys(h, num, den) if f not in seen else np.empty(0, U)
+                # A row without an id has no link; its text's keys come with the first row that has one.
+                own = part_keys(h, num, den) if i is not None and f not in seen else np.empty(0, U)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                seen.add(f)
+                if i is not None:
+                    seen.add(f)
                 n.append(len(h))
                 f1.append(f[0])
                 f2.append(f[1])

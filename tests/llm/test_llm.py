@@ -376,3 +376,12 @@ def test_trimmed_copies_of_many_sizes_link(spark):
             want[i * 10 + j] = i * 10
     got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), width=4, num=85).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_null_ids_take_no_links_from_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    whole, near = " ".join(words), " ".join(words[:58])
+    rows = [(None, whole), (None, near), (4, whole), (9, near), (12, "alone")]
+    got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), width=4, num=85).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=key) == sorted([(None, None), (None, None), (4, 4), (9, 4), (12, 12)], key=key)
