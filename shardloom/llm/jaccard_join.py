@@ -134,13 +134,8 @@ def _verify(width: int, num: int, den: int):
     return run
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """id, n_shingles, component_id for every row; linked where den * |intersection| >= num * |union|.
-
-    component_id is the smallest id reachable. Null or wordless text has no shingle and no link. Rows that repeat an id
-    are one node with the links of all of them; a row with a null id has no link and a null component. An empty table
-    gives no rows; other columns are ignored.
-    """
+def _join(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, n, ...), members (id, rep) and, of the class representatives, every link (a, b) or else the components."""
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -198,6 +193,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Sets whose 64-bit f1 collide stand under one name above, so they are held against each other too.
     clash = named.groupBy("f1").count().filter("count > 1").select(F.col("f1").alias("x"), F.col("f1").alias("y"))
     first = cut(sized(shared.select(F.col("hub").alias("x"), F.col("f1").alias("y")).distinct().union(clash)), "pairs")
+    if every:
+        named = classes.select("f1", "rep", "n", "fold")
+        placed = cut(shared.select("key", "f1").union(shared.select("key", "hub")).distinct().join(named, "f1").select("key", "rep", "n", "fold"), "placed")
+        met = placed.toDF("key", "a", "na", "fa").join(placed.toDF("key", "b", "nb", "fb"), "key").filter(F.col("a") < F.col("b")).filter(linkable())
+        return sets, member, cut(verified(cut(near(met).union(sized(clash)).distinct(), "met")), "links")
+
     one = F.row_number().over(Window.partitionBy("b").orderBy("a"))
     start = cut(first.withColumn("_k", one).filter("_k = 1").drop("_k"), "start")
     twice = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
@@ -235,11 +236,32 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = cut(links.union(verified(across)), "links")
         roots = components(links)
 
+    return sets, member, roots
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """id, n_shingles, component_id for every row; linked where den * |intersection| >= num * |union|.
+
+    component_id is the smallest id reachable. Null or wordless text has no shingle and no link. Rows that repeat an id
+    are one node with the links of all of them; a row with a null id has no link and a null component. An empty table
+    gives no rows; other columns are ignored.
+    """
+    sets, member, roots = _join(docs, id_col, text_col, width, num, den, False)
     lowest = member.join(roots.toDF("rep", "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).groupBy("id").agg(F.min("root").alias("component_id"))
     out = sets.select("id", F.col("n").alias("n_shingles")).join(lowest, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with a < b for every link between classes of equal shingle sets, and (id, rep) for every document in a class.
+
+    A class goes by its smallest id. All pairs of classes that share a part are verified, so a group of near copies costs
+    the square of its different sets, which is also the number of its links. Nulls and repeated ids are as in near_components.
+    """
+    _, member, links = _join(docs, id_col, text_col, width, num, den, True)
+    return links, member.withColumnRenamed("id", id_col)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with the smallest id of each component; documents without words stay. All columns kept."""
     found = near_components(docs, id_col, text_col, **how)

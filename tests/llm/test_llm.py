@@ -385,3 +385,18 @@ def test_null_ids_take_no_links_from_others(spark):
     got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), width=4, num=85).collect()
     key = lambda r: (str(r[0]), str(r[1]))
     assert sorted(((r.doc_id, r.component_id) for r in got), key=key) == sorted([(None, None), (None, None), (4, 4), (9, 4), (12, 12)], key=key)
+
+
+@pytest.mark.parametrize("width,num", [(4, 85), (2, 50)])
+def test_near_links_are_all_of_them(spark, docs, width, num):
+    rows = [(i, t) for i, t, *_ in docs[1]] + [(1000 + 50 * g + k, " ".join(f"g{g}w{j}" for j in range(60 - k))) for g in range(2) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rep = {}
+    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+        rep.setdefault(frozenset(shingles(t, width)), i)
+    rep.pop(frozenset(), None)
+    want = {(i, j) for a, i in rep.items() for b, j in rep.items() if i < j and 100 * len(a & b) >= num * len(a | b)}
+    links, member = jaccard_join.near_links(df, width=width, num=num)
+    got = [tuple(r) for r in links.collect()]
+    assert want and set(got) == want and len(got) == len(want)
+    assert {tuple(r) for r in member.collect()} == {(i, rep[s]) for i, t, *_ in rows if (s := frozenset(shingles(t, width)))}
