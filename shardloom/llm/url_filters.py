@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.6
-LARGEST_SET = 4
 VERDICT = "verdict="
 
 
@@ -57,8 +56,8 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     if not n:
         return labelled.sparkSession.createDataFrame([], "ante array<string>, verdict string, confidence double, support double, key string")
     baskets = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=max(min_support, 3 / n), minConfidence=min_confidence, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets).freqItemsets
-    sets = sets.filter(F.size("items") <= LARGEST_SET + 1).select(F.array_sort("items").alias("items"), "freq")
+    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets).freqItemsets
+    sets = sets.select(F.array_sort("items").alias("items"), "freq")
     ante = F.filter("items", lambda x: ~x.startswith(VERDICT))
     verdict = F.element_at(F.filter("items", lambda x: x.startswith(VERDICT)), 1)
     with_verdict = sets.filter(F.exists("items", lambda x: x.startswith(VERDICT)) & (F.size("items") > 1)).select(ante.alias("ante"), verdict.alias("v"), F.col("freq").alias("both"))

@@ -246,6 +246,19 @@ def test_url_rules_are_mined(spark):
     assert all(r["verdict"] == ("block" if r["page_id"] % 4 == 0 else "allow") for r in got) and len(got) == 200
 
 
+def test_url_rules_of_many_tokens(spark):
+    segments = ["a", "b", "c", "d", "e"]
+    paths = ["/".join(segments)] * 12 + ["/".join(x for x in segments if x != gone) for gone in segments for _ in range(8)]
+    pages = spark.createDataFrame([(i, f"http://h/{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i < 12)) for i in range(len(paths))], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_filters.judge(pages, labels).collect()}
+    assert all(got[i]["verdict"] == ("block" if i < 12 else "allow") for i in range(len(paths))) and got[0]["confidence"] == 1.0
+    # Two of 300 labelled rows are over a support of 0.005.
+    pages = spark.createDataFrame([(i, "http://h/rare" if i < 2 else f"http://k/{'p' if i % 2 else 'q'}") for i in range(300)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i < 2)) for i in range(300)], "doc_id long, quality int, toxic int")
+    assert {r["page_id"] for r in url_filters.judge(pages, labels).collect() if r["verdict"] == "block"} == {0, 1}
+
+
 FUZZ = [*"ab'sStTmdreveLl 12 \n\t<|>!?.,", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "é", "é", "Σ", "İ", "漢", "\u00a0", "　", "😀", "\u0085", "\x1c", "\x00", "½", "\r\n", "   "]
 
 
