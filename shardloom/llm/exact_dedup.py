@@ -2,8 +2,8 @@
 
 A text's key is the 64-bit hash of its normal form. The directory starts at the depth that the number of
 distinct keys asks for and doubles where a bucket holds more keys than its capacity: the overfull bucket's keys
-move one bit deeper, the others stay. The owner of a bucket compares the bytes of the texts under each key, so
-texts that only share a key become separate links of that key's chain. Copies meet first inside each scan task
+move one bit deeper, the others stay. A group-by on bucket, key and text compares the bytes, so texts that only share a
+key become separate links of that key's chain; no task owns a bucket. Copies meet first inside each scan task
 (partial aggregation on the text itself), so a text with any number of copies reaches its owner as one row a task.
 """
 
