@@ -6,11 +6,24 @@ has about 2n / (w + 1) anchors for w = length - k + 1; each has a run of success
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
-from .shingles import U, _powers, mix
+from .shingles import U, hashes, mix
 
 K = 20
+_B = U(0x9E3779B97F4A7C15)
+_INV = U(pow(int(_B), -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.multiply.accumulate(np.append(U(1), np.full(size, b, U))) for b in (_B, _INV)]
+    return _POWERS
 
 
 def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -24,19 +37,32 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
 
 
 def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """What orders the places. Chance or malice that makes two of them equal moves an anchor, and loses no window."""
     up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.append(U(0), np.cumsum((data.astype(U) + U(1)) * up[: len(data)], dtype=U))
         return mix((sums[k:] - sums[:-k]) * down[: len(data) - k + 1])
 
 
-def runs(data: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For data of at least length bytes: each run's anchor place, anchor hash, first window and the window past its last.
+class Runs(NamedTuple):
+    """Runs of windows of texts that lie end to end. anchor, content: hashes of the anchor's bytes, and of all bytes of
+    the run with the anchor's place among them; text: the run's text; start, end: its first window and the one past its last."""
+
+    text: np.ndarray
+    anchor: np.ndarray
+    content: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    place: np.ndarray
 
-    Runs split [0, n - length + 1) from left to right. Of equal hashes in a window the leftmost is the anchor.
-    """
-    w = length - k + 1
-    h = window_hashes(data, k)
+
+def runs(texts: list[bytes], length: int, k: int = K) -> Runs:
+    """Runs of all windows inside the texts, in order. Of equal hashes in a window the leftmost is the anchor."""
+    joined, w = b"".join(texts), length - k + 1
+    none = np.empty(0, np.int64)
+    if len(joined) < length:
+        return Runs(none, none.astype(U), none.astype(U), none, none, none)
+    h = window_hashes(np.frombuffer(joined, np.uint8), k)
     least = _slide(h, w, np.minimum)
     # A place is an anchor if it holds the minimum of some window; a window's anchor is the first such place with its minimum.
     padded = np.concatenate([np.zeros(w - 1, U), least, np.zeros(w - 1, U)])
@@ -47,14 +73,14 @@ def runs(data: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndar
     while len(wrong):
         at[wrong] += 1
         wrong = wrong[values[at[wrong]] != least[wrong]]
-    anchor = places[at]
-    starts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    return anchor[starts], h[anchor[starts]], starts, np.append(starts[1:], len(least))
-
-
-def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] together with salt, for each pair."""
-    up, down = _powers(len(data) + 1)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    first = np.flatnonzero(owner[: len(least)] == owner[length - 1 :])  # windows inside one text
+    anchor, of = places[at[first]], owner[first]
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1]))[: len(first)]
+    start = first[new]
+    end = first[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)] + 1 if len(first) else none
+    place = anchor[new]
     with np.errstate(over="ignore"):
-        sums = np.append(U(0), np.cumsum((data.astype(U) + U(3)) * up[: len(data)], dtype=U))
-        return mix(mix((sums[ends] - sums[starts]) * down[starts]) * U(3) + mix((ends - starts).astype(U)) + salt.astype(U))
+        content = mix(hashes(joined, start, end + length - 1, 2) + (place - start).astype(U))
+    return Runs(of[new], hashes(joined, place, place + k, 1), content, start, end, place)

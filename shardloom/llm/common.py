@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local default only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one on a local master, which has one machine; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "shardloom-checkpoints")
     return found.rstrip("/")
 
@@ -44,10 +47,27 @@ def sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+def fresh(names, base: str) -> str:
+    """A column name that is none of names, whatever their case."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
+def whole_number(df: DataFrame, col: str) -> Column:
+    """A column of whole numbers as long; other kinds of ids are an error at once, not in the middle of a job."""
+    kind = df.schema[col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{col} is {kind}; ids are whole numbers here")
+    return F.col(f"`{col}`").cast("long")
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is among ids (one column); null equals null."""
-    ids = sized(cut(ids.toDF("_id").distinct(), "ids"))
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    own = fresh(docs.columns, "_id")
+    ids = sized(cut(ids.toDF(own).distinct(), "ids"))
+    return docs.join(ids, F.col(f"`{id_col}`").eqNullSafe(F.col(own)), "left_semi")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -7,24 +7,30 @@ parts. A set leaves out its z emptiest parts; with m = D + 1 + 2z linked sets st
 that share a part are candidates; a sketch of FOLD bits rules most unrelated ones out by its Hamming distance, and what
 is left is verified on the whole shingle sets.
 
-Equal sets are one class from the start. In a bucket of equal parts each set is first held against the bucket's
-smallest id only; pairs inside a bucket are looked at again only where they are in different components still, so a
-large group of near copies costs about one comparison a member, and no link between components is lost.
+Equal sets are one class from the start. The sets of a bucket of equal parts meet its hub, the smallest of them: within a
+task first, which sends one set a bucket on, then among tasks. So a part that a third of all sets share costs one row a
+task in any one place. Buckets with one hub are one group. Each set is first held against its hubs only; pairs inside a
+group are looked at again only where they are in different components still, each pair in the first of the groups that
+both are in, so no link between components is lost and no pair is made twice. What that last step costs is the product
+of a group's smaller components with the group: near copies that link with none of their family each have to be ruled
+out against all of it, on 512 bits a pair.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_right
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut, keep_ids
+from .common import cut, keep_ids, whole_number
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -38,6 +44,11 @@ KEY_BITS = 48
 BROADCAST_IDS = 1_000_000
 #: Distinct sets that a task remembers, so as to send a set's parts once.
 REMEMBERED = 50_000
+#: Keys that a task holds before it sends them.
+HELD_KEYS = 1 << 20
+ROWS = "id long, n long, f1 long, f2 long, fold array<long>, wide array<long>, node long, part int, blob binary, key long, hub long"
+COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
+KINDS = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
 
 @cache
@@ -85,34 +96,111 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, U)]).view(np.int64)))
 
 
-def _sketches(width: int, num: int, den: int):
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The low n bytes of numbers, byte by byte, which compresses where high bytes are alike."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def _unplanes(data: bytes, count: int, n: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8, n * count).reshape(n, count).T
+    return out.view("<u8").ravel()
+
+
+def pack_keys(keys: np.ndarray, nodes: np.ndarray) -> bytes:
+    """Sorted keys and the nodes of one task (high halves equal): differences and low halves, compressed."""
+    body = _planes(np.diff(keys, prepend=U(0)), 6) + _planes(nodes & 0xFFFFFFFF, 4)
+    return struct.pack("<qi", int(nodes[0]) >> 32, len(keys)) + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    task, count = struct.unpack_from("<qi", blob)
+    body = pa.decompress(blob[12:], decompressed_size=10 * count, codec="zstd", asbytes=True)
+    return np.cumsum(_unplanes(body, count, 6), dtype=U), (task << 32) + _unplanes(body[6 * count :], count, 4).astype(np.int64)
+
+
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different (key, node), whether each is its key's first, and that first node."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))[: len(keys)]
+    keys, nodes = keys[new], nodes[new]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    return keys, nodes, first, nodes[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+
+
+def _rows(**cols) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, k) for c, k in zip(COLUMNS, KINDS, strict=True)], COLUMNS)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(x).astype(U).view(np.int64))
+
+
+def _sketches(width: int, num: int, den: int, parts: int):
+    """id, text -> three kinds of rows: a document's set and sketches, with a node where it is a task's first row of that
+    set; blobs of (key, node) by range of keys; (key, hub, node) of sets that share a key within the task."""
+
+    def flush(keys: list[np.ndarray], nodes: list[np.ndarray]):
+        k, x, first, hub = _stars(np.concatenate(keys), np.concatenate(nodes))
+        if not first.all():
+            yield _rows(key=_signed(k[~first]), hub=pa.array(hub[~first]), node=pa.array(x[~first]))
+        k, x = k[first], x[first]
+        part = ((k >> U(KEY_BITS - 32)) * U(parts) >> U(32)).astype(np.int64)
+        at = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        for lo in range(0, len(at), 64):
+            cuts = [*at[lo : lo + 65], len(k)][: len(at[lo : lo + 64]) + 1]
+            blobs = [pack_keys(k[a:b], x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield _rows(part=pa.array(part[cuts[:-1]].astype(np.int32)), blob=pa.array(blobs, pa.binary()))
+
     def run(batches):
+        task, made = TaskContext.get().partitionId() << 32, 0
         seen: set[tuple[int, int]] = set()
+        keys, nodes, held = [], [], 0
         for batch in batches:
             ids, texts = batch.column(0), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            n, f1, f2, keys, folds, wides = [], [], [], [], [], []
+            n, f1, f2, folds, wides, own = [], [], [], [], [], []
             for i, h in zip(ids.to_pylist(), shingle_sets(texts, width), strict=True):
                 with np.errstate(over="ignore"):
                     f = int(mix(h + U(11)).sum(dtype=U)), int(mix(h ^ U(0x5555555555555555)).sum(dtype=U))
                 # A row without an id has no link; its text's keys come with the first row that has one.
-                own = part_keys(h, num, den) if i is not None and f not in seen else np.empty(0, U)
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                if i is not None:
+                if i is not None and len(h) and f not in seen:
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
                     seen.add(f)
+                    mine = part_keys(h, num, den)
+                    keys.append(mine)
+                    nodes.append(np.full(len(mine), task + made, np.int64))
+                    own.append(task + made)
+                    made, held = made + 1, held + len(mine)
+                else:
+                    own.append(None)
                 n.append(len(h))
                 f1.append(f[0])
                 f2.append(f[1])
-                keys.append(own)
                 folds.append(fold(h, FOLD))
                 wides.append(fold(h, WIDE) if len(h) >= WIDE_FROM else np.empty(0, U))
-            signed = lambda x: pa.array(np.array(x, U).view(np.int64))
-            whole = _lists(folds)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), signed(f1), signed(f2), whole, _lists(wides), _lists(keys)], ["id", "n", "f1", "f2", "fold", "wide", "keys"])
+                if held >= HELD_KEYS:
+                    yield from flush(keys, nodes)
+                    keys, nodes, held = [], [], 0
+            yield _rows(id=ids, n=pa.array(n, pa.int64()), f1=_signed(np.array(f1, U)), f2=_signed(np.array(f2, U)), fold=_lists(folds), wide=_lists(wides), node=pa.array(own, pa.int64()))
+        if held:
+            yield from flush(keys, nodes)
 
     return run
 
 
+def _meet(batches):
+    """Blobs of one range of keys -> (key, hub, node) of nodes that share a key with a smaller one of another task."""
+    got = [unpack_keys(b) for batch in batches for b in batch.column(0).to_pylist()]
+    if got:
+        k, x, first, hub = _stars(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+        for lo in range(0, len(k), 1 << 16):
+            on = lo + np.flatnonzero(~first[lo : lo + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([_signed(k[on]), pa.array(hub[on]), pa.array(x[on])], ["key", "hub", "node"])
+
+
 def _pack(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t or b"", 1) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["id", "packed"])
@@ -138,21 +226,25 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den
     """Rows (id, n, ...), members (id, rep) and, of the class representatives, every link (a, b) or else the components."""
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kind = "id long, n long, f1 long, f2 long, fold array<long>, wide array<long>, keys array<long>"
-    sets = cut(base.mapInArrow(_sketches(width, num, den), kind), "sketches")
+    base = docs.select(whole_number(docs, id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.rdd.getNumPartitions())
+    found = cut(base.mapInArrow(_sketches(width, num, den, parts), ROWS), "sketches")
+    sets = found.filter("n is not null")
     nodes = sets.filter("id is not null and n > 0").select("id", "n", "f1", "f2", "fold", "wide")
     classes = nodes.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fold").alias("fold"), F.first("wide").alias("wide"))
     classes = cut(classes, "classes")
     member = cut(nodes.select("id", "f1", "f2").distinct().join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "rep"), "members")
     reps = classes.select("rep", "n", "fold")
     wide = classes.filter(F.col("n") >= WIDE_FROM).select("rep", "wide")
-    named = classes.select("f1", "rep")
+    named = cut(sets.filter("node is not null").select("node", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("node", "rep"), "named")
 
-    # (key, hub, f1) for sets that share a key with one of smaller f1. Copies have one f1, so they drop out here.
-    by_key = Window.partitionBy("key").orderBy("f1")
-    rows = sets.filter("id is not null").select("f1", F.explode("keys").alias("key"))
-    shared = cut(rows.withColumn("hub", F.first("f1").over(by_key)).filter("hub <> f1").distinct(), "shared")
+    # (hub, x): sets that share a key with a smaller one. A task's own hub may have met a smaller one of another task.
+    among = cut(found.filter("blob is not null").select("part", "blob").repartitionById(parts, F.col("part")).select("blob").mapInArrow(_meet, "key long, hub long, node long"), "among")
+    inside = found.filter("key is not null").select("key", F.col("hub").alias("node"), F.col("node").alias("x"))
+    inside = inside.join(among.withColumnRenamed("hub", "top"), ["key", "node"], "left").select(F.coalesce("top", "node").alias("hub"), "x")
+    starry = among.select("hub", F.col("node").alias("x")).unionByName(inside).distinct()
+    group = starry.join(named.toDF("x", "rep"), "x").join(named.toDF("hub", "h"), "hub").filter("h <> rep").select("h", "rep").distinct()
+    group = cut(group, "groups")
 
     def linkable() -> Column:
         """Sizes and sketches of a and b allow a link."""
@@ -161,25 +253,16 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den
         return sizes & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """pairs a, b, na, nb -> a, b of those that the wide sketches allow. Only pairs of two large sets meet them."""
-        pairs = cut(pairs.select("a", "b", "na", "nb").distinct(), "near")
+        """Different pairs a, b, na, nb -> a, b (a < b) of those that the wide sketches allow. Only pairs of two large sets meet them."""
+        turned = F.col("a") > F.col("b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+        pairs = cut(pairs, "near")
         large = F.least("na", "nb") >= WIDE_FROM
         p = pairs.filter(large).join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b")
         apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
         allowed = p.filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
         return allowed.union(pairs.filter(~large).select("a", "b"))
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        """a, b, na, nb with a < b."""
-        turned = F.col("a") > F.col("b")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs of f1 -> pairs of class representatives that may link."""
-        known = classes.select("f1", "rep", "n", "fold")
-        p = pairs.join(known.toDF("x", "a", "na", "fa"), "x").join(known.toDF("y", "b", "nb", "fb"), "y")
-        return near(ordered(p.filter("a <> b").filter(linkable())))
-
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs a, b -> a, b of those that link."""
         wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
@@ -190,17 +273,23 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den
         both = pairs.join(found.toDF("a", "pa"), "a").join(found.toDF("b", "pb"), "b")
         return both.select("a", "b", "pa", "pb").mapInArrow(_verify(width, num, den), "a long, b long, ok boolean").filter("ok").select("a", "b").distinct()
 
-    # Sets whose 64-bit f1 collide stand under one name above, so they are held against each other too.
-    clash = named.groupBy("f1").count().filter("count > 1").select(F.col("f1").alias("x"), F.col("f1").alias("y"))
-    first = cut(sized(shared.select(F.col("hub").alias("x"), F.col("f1").alias("y")).distinct().union(clash)), "pairs")
+    def inside_groups(rows: DataFrame, which: Column) -> DataFrame:
+        """rows h, rep, root, big -> pairs of a group's members that may link, each in the first of the groups that hold both."""
+        per_rep = rows.groupBy("rep").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+        rows = cut(rows.join(reps, "rep").join(per_rep, "rep").select("h", "rep", "root", "big", "n", "fold", "hs"), "spread")
+        p = rows.toDF("h", "a", "ra", "big_a", "na", "fa", "ha")
+        q = rows.toDF("h", "b", "rb", "big_b", "nb", "fb", "hb")
+        once = F.array_min(F.array_intersect("ha", "hb")) == p["h"]
+        return near(p.join(q, (p["h"] == q["h"]) & which & linkable() & once).select("a", "b", "na", "nb"))
+
+    everyone = group.union(group.select("h", F.col("h").alias("rep"))).distinct()
     if every:
-        named = classes.select("f1", "rep", "n", "fold")
-        placed = cut(shared.select("key", "f1").union(shared.select("key", "hub")).distinct().join(named, "f1").select("key", "rep", "n", "fold"), "placed")
-        met = placed.toDF("key", "a", "na", "fa").join(placed.toDF("key", "b", "nb", "fb"), "key").filter(F.col("a") < F.col("b")).filter(linkable())
-        return sets, member, cut(verified(cut(near(met).union(sized(clash)).distinct(), "met")), "links")
+        rows = everyone.select("h", "rep", F.lit(0).alias("root"), F.lit(False).alias("big"))
+        return sets, member, cut(verified(inside_groups(rows, F.col("a") < F.col("b"))), "links")
 
-    one = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-    start = cut(first.withColumn("_k", one).filter("_k = 1").drop("_k"), "start")
+    first = group.join(reps.toDF("h", "na", "fa"), "h").join(reps.toDF("rep", "nb", "fb"), "rep").filter(linkable())
+    first = cut(near(first.select(F.col("h").alias("a"), F.col("rep").alias("b"), "na", "nb")).distinct(), "pairs")
+    start = cut(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "start")
     twice = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     twice = member.join(twice.select("id", "a"), "id").select("a", F.col("rep").alias("b")).filter("a <> b")
     links = cut(verified(start).union(twice), "links")
@@ -215,23 +304,14 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den
         links = cut(links.union(verified(rest)), "links")
         roots = components(links)
 
-    # Buckets that still span components: their members of different components are held against each other.
-    # A bucket spans several where a member's component isn't its hub's; the others are left out before anything is grouped.
-    rooted = cut(named.join(roots.toDF("rep", "root"), "rep", "left").select("f1", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
-    member_of = shared.join(rooted, "f1").join(rooted.toDF("hub", "hub_rep", "hub_root"), "hub")
-    member_of = cut(member_of.select("key", "rep", "root", "hub_rep", "hub_root"), "member_of")
-    split = cut(member_of.filter("root <> hub_root").select("key").distinct(), "split")
-    both = F.explode(F.array(F.struct("rep", "root"), F.struct(F.col("hub_rep").alias("rep"), F.col("hub_root").alias("root"))))
-    placed = cut(member_of.join(split, "key", "left_semi").select("key", both.alias("x")).select("key", "x.*").distinct(), "placed")
-    # A bucket's largest component is never held against itself: the others' members meet all of the bucket, so the work
-    # is the product of the two counts, not the square of the bucket.
-    per_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    open_keys = per_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.count("*").alias("roots")).filter("roots > 1").select("key", "big")
-    spread = cut(placed.join(open_keys, "key").join(reps, "rep").select("key", "rep", "root", "n", "fold", "big"), "spread")
-    p = spread.filter("root <> big").drop("big").toDF("key", "a", "ra", "na", "fa")
-    q = spread.withColumn("big", F.col("root") == F.col("big")).toDF("key", "b", "rb", "nb", "fb", "big")
-    across = p.join(q, (p["key"] == q["key"]) & (F.col("ra") != F.col("rb")) & (F.col("big") | (F.col("a") < F.col("b"))) & linkable())
-    across = cut(near(ordered(across).distinct().join(first, ["a", "b"], "left_anti")), "across")
+    # Groups that still span components. A group's largest component is never held against itself: the others' members
+    # meet all of the group, so the work is the product of the two counts, not the square of the group.
+    placed = cut(everyone.join(roots.toDF("rep", "root"), "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("root")), "placed")
+    per_root = placed.groupBy("h", "root").agg(F.count("*").alias("c"))
+    split = per_root.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("h", "most")
+    rows = placed.join(split, "h").select("h", "rep", "root", (F.col("root") == F.col("most")).alias("big"))
+    across = inside_groups(rows, ~F.col("big_a") & (F.col("ra") != F.col("rb")) & (F.col("big_b") | (F.col("a") < F.col("b"))))
+    across = cut(across.join(first, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         links = cut(links.union(verified(across)), "links")
         roots = components(links)
@@ -244,7 +324,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable. Null or wordless text has no shingle and no link. Rows that repeat an id
     are one node with the links of all of them; a row with a null id has no link and a null component. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. Ids are whole numbers; shingles are told apart by 64 bits of hash.
     """
     sets, member, roots = _join(docs, id_col, text_col, width, num, den, False)
     lowest = member.join(roots.toDF("rep", "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).groupBy("id").agg(F.min("root").alias("component_id"))

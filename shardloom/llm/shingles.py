@@ -1,4 +1,4 @@
-"""Distinct word shingles of many texts at once, as 64-bit hashes."""
+"""Distinct word shingles of many texts at once, as 64-bit hashes of the words' bytes."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import numpy as np
 from .common import blocks
 
 U = np.uint64
-_B = U(0x9E3779B97F4A7C15 | 1)
-_INV = U(pow(int(_B), -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
+#: The low bytes of a number that a piece of so many bytes fills.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+_ODD = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,24 +23,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.multiply.accumulate(np.append(U(1), np.full(size, b, U))) for b in (_B, _INV)]
-    return _POWERS
+def hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each joined[start:end]: eight bytes at a time, with a finaliser after each eight, so that no sum or
+    polynomial structure of the bytes carries over to the hash."""
+    eight = np.ndarray((len(joined) + 1,), U, joined + b"\x00" * 8, 0, (1,))
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        h = mix(size.astype(U) * _ODD + U(seed))
+        live, done = np.flatnonzero(size > 0), 0
+        while len(live):
+            rest = size[live] - done
+            piece = eight[starts[live] + done] & _MASK[np.minimum(rest, 8)]
+            h[live] = mix((h[live] ^ piece) * _ODD + U(done + 1))
+            live = live[rest > 8]
+            done += 8
+    return h
 
 
 def words(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the maximal runs without white space."""
-    data = np.frombuffer(joined, np.uint8)
-    space = np.concatenate([[True], _SPACE[data], [True]])
+    space = np.concatenate([[True], _SPACE[np.frombuffer(joined, np.uint8)], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.append(U(0), np.cumsum((data.astype(U) + U(1)) * up[: len(data)], dtype=U))
-        return starts, mix((sums[ends] - sums[starts]) * down[starts])
+    return edge[::2], hashes(joined, edge[::2], edge[1::2])
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:

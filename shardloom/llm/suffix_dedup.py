@@ -2,8 +2,9 @@
 
 A string of LENGTH bytes is a window; a window that also starts in a document with a smaller id is removed. Suffixes that
 share their first LENGTH bytes share a window's anchor (see anchors), so anchors deal the suffixes out to tasks without
-parting equal windows. Each anchor has a run of windows in a document; runs that are the same bytes in the same place are
-settled as wholes, by the smallest id that has them. Runs that differ under one anchor are open: their text is suffix
+parting equal windows. Each anchor has a run of windows in a document; runs whose anchors agree in 64 bits of hash and whose
+bytes (and anchor's place) agree in 64 bits of another are settled as wholes, by the smallest id that has them: within a
+task first, which sends one row a run on, so that a passage that all documents share is one row a task. Runs that differ under one anchor are open: their text is suffix
 sorted by the difference-cover algorithm (sort the triples at two of three places, recurse on their names, merge the
 suffixes at the third), and neighbours with a common prefix of LENGTH bytes are equal windows. An anchor with so many
 open runs, or bytes of them, that no task should hold them gives its windows one by one, sorted by Spark.
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .anchors import content_hashes, runs
-from .common import cut
-from .shingles import U
+from .anchors import Runs, runs
+from .common import blocks, cut, whole_number
+from .shingles import U, mix
 
 LENGTH = 50
 #: Runs, and bytes of them, of an anchor above which its windows are sorted by Spark, and bytes that are suffix sorted at once.
@@ -29,6 +30,8 @@ HOT_RUNS = 10_000
 HOT_BYTES = 1_000_000
 SORT_BYTES = 1_000_000
 FULL, OPEN, HOT = 0, 1, 2
+#: Runs that a task holds before it settles them.
+HELD_RUNS = 1 << 20
 PIECES = "doc long, th long, kind int, a long, data binary, starts array<int>, ends array<int>"
 
 
@@ -117,66 +120,89 @@ def _bytes(batch: pa.RecordBatch, i: int) -> list[bytes]:
     return [t or b"" for t in batch.column(i).cast(pa.binary()).to_pylist()]
 
 
-def _text_runs(text: bytes, length: int):
-    data = np.frombuffer(text, np.uint8)
-    place, a, s, e = runs(data, length)
-    return a, content_hashes(data, s, e + length - 1, place - s), s, e
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def _scan(length: int):
-    """doc, text -> a, s, doc of every different run of a text."""
-
-    def different(a: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((s, a))
-        a, s = a[order], s[order]
-        first = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))
-        return a[first], s[first]
+    """doc, text -> (a, s, doc) of every different run, once a task, with the smallest doc there; and for each of the other
+    docs a row with its list of runs, which are settled by that: a is some number then, so that these rows spread evenly."""
+
+    def settle(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        a, s, d = (np.concatenate([x[i] for x in held]) for i in range(3))
+        order = np.lexsort((d, s, a))
+        a, s, d = a[order], s[order], d[order]
+        first = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))[: len(a)]
+        least = d[np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))]
+        none = pa.list_(pa.int64())
+        for lo in range(0, len(a), 1 << 16):
+            on = lo + np.flatnonzero(first[lo : lo + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([_signed(a[on]), _signed(s[on]), pa.array(d[on]), pa.nulls(len(on), none)], ["a", "s", "doc", "full"])
+        rest = np.flatnonzero(d > least)
+        rest = rest[np.argsort(d[rest], kind="stable")]
+        cuts = np.flatnonzero(np.append(True, d[rest][1:] != d[rest][:-1]))[: len(rest)]
+        ends = np.append(cuts, len(rest))
+        for lo in range(0, len(cuts), 1 << 12):
+            e = ends[lo : lo + (1 << 12) + 1]
+            lists = pa.ListArray.from_arrays(pa.array(e - e[0], pa.int32()), _signed(s[rest[e[0] : e[-1]]]))
+            docs = d[rest[e[:-1]]]
+            yield pa.RecordBatch.from_arrays([_signed(mix(docs.view(U))), pa.nulls(len(docs), pa.int64()), pa.array(docs), lists], ["a", "s", "doc", "full"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = part.column(0).to_pylist()
-                got = [(i, *different(*_text_runs(t, length)[:2])) for i, t in zip(ids, _bytes(part, 1), strict=True) if len(t) >= length]
-                if got:
-                    d = np.concatenate([np.full(len(a), i, np.int64) for i, a, _ in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in got]).view(np.int64)) for k in (1, 2)] + [pa.array(d)], ["a", "s", "doc"])
+            ids, texts = np.array(batch.column(0).to_pylist(), np.int64), _bytes(batch, 1)
+            for lo, hi in blocks([len(t) for t in texts]):
+                r = runs(texts[lo:hi], length)
+                held.append((r.anchor, r.content, ids[lo:hi][r.text]))
+                size += len(r.text)
+                if size >= HELD_RUNS:
+                    yield from settle(held)
+                    held, size = [], 0
+        if size:
+            yield from settle(held)
 
     return run
 
 
 def _pieces(length: int):
-    """doc, th, text, full, open, hot (hashes of runs) -> the full runs' places; the open runs' and hot windows' bytes.
+    """doc, th, text, full, open, hot (contents of runs) -> the full runs' places; the open runs' and hot windows' bytes.
 
     An open run or a hot window comes once a text, with all of its places as starts.
     """
 
+    def marked(r: Runs, lists: list) -> np.ndarray:
+        """Which runs their texts' lists name."""
+        of = np.repeat(np.arange(len(lists)), [len(x or ()) for x in lists])
+        named = np.concatenate([np.empty(0, np.int64), *[np.array(x, np.int64) for x in lists if x]]).view(U)
+        with np.errstate(over="ignore"):
+            return np.flatnonzero(np.isin(r.content + mix(r.text.astype(U)), named + mix(of.astype(U))))
+
+    def block(ids: list, th: list, texts: list[bytes], lists: list[list]) -> list[tuple]:
+        r, out = runs(texts, length), []
+        base = np.cumsum([0] + [len(t) for t in texts])[r.text] if len(r.text) else r.text
+        start, end = r.start - base, r.end - base
+        on = marked(r, lists[FULL])
+        cuts = np.flatnonzero(np.append(True, r.text[on][1:] != r.text[on][:-1]))[: len(on)].tolist()
+        for x, y in zip(cuts, [*cuts[1:], len(on)], strict=False):
+            i = r.text[on[x]]
+            out.append((ids[i], th[i], FULL, None, None, start[on[x:y]], end[on[x:y]]))
+        for kind in (OPEN, HOT):
+            places: dict[tuple[int, int, bytes], list[int]] = {}
+            on = marked(r, lists[kind])
+            for i, a, p, q in zip(r.text[on].tolist(), r.anchor[on].view(np.int64).tolist(), start[on].tolist(), end[on].tolist(), strict=True):
+                for u, v in [(p, q)] if kind == OPEN else ((u, u + 1) for u in range(p, q)):
+                    places.setdefault((i, a, texts[i][u : v + length - 1]), []).append(u)
+            out += [(ids[i], th[i], kind, a, data, at, None) for (i, a, data), at in places.items()]
+        return out
+
     def run(batches):
         for batch in batches:
             ids, th, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch, 2)
             lists = [batch.column(k).to_pylist() for k in (3, 4, 5)]
-            out: list[tuple] = []
-            held = 0
-            for r, text in enumerate(texts):
-                if len(text) < length:
-                    continue
-                a, s, b, e = _text_runs(text, length)
-                mine = [np.isin(s, np.array(kind[r], np.int64).view(U)) for kind in lists]
-                full = np.flatnonzero(mine[FULL])
-                if len(full):
-                    out.append((ids[r], th[r], FULL, None, None, b[full].tolist(), e[full].tolist()))
-                for kind in (OPEN, HOT):
-                    places: dict[tuple[int, bytes], list[int]] = {}
-                    for i in np.flatnonzero(mine[kind]).tolist():
-                        for p, q in [(b[i], e[i])] if kind == OPEN else ((p, p + 1) for p in range(b[i], e[i])):
-                            places.setdefault((int(a[i].view(np.int64)), text[p : q + length - 1]), []).append(int(p))
-                    out += [(ids[r], th[r], kind, anchor, data, at, None) for (anchor, data), at in places.items()]
-                held += len(text)
-                if held > 1 << 20:
+            for lo, hi in blocks([len(t) for t in texts]):
+                if out := block(ids[lo:hi], th[lo:hi], texts[lo:hi], [x[lo:hi] for x in lists]):
                     yield _rows(out)
-                    out, held = [], 0
-            if out:
-                yield _rows(out)
 
     return run
 
@@ -219,21 +245,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """doc, th (hash of the text), starts, ends: ranges of window starts that are removed, for documents that have any."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
-    rows = base.mapInArrow(_scan(length), "a long, s long, doc long")
+    base = docs.filter(F.col(id_col).isNotNull()).select(whole_number(docs, id_col).alias("doc"), text.alias("text"))
+    rows = base.mapInArrow(_scan(length), "a long, s long, doc long, full array<long>")
     by_run = Window.partitionBy("a").orderBy("s", "doc")
     by_anchor = Window.partitionBy("a")
     new_run = (F.lag("s").over(by_run).isNull() | (F.lag("s").over(by_run) != F.col("s"))).cast("long")
-    rows = rows.withColumn("new", new_run)
+    rows = rows.withColumn("new", F.when(F.col("full").isNull(), new_run))
     # The first row of a run has its smallest id; carried along the run it settles the others.
     carried = F.last(F.when(F.col("new") == 1, F.col("doc")), ignorenulls=True).over(by_run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("least", carried).withColumns({"n_runs": F.sum("new").over(by_anchor), "n_open": F.sum((F.col("least") == F.col("doc")).cast("long")).over(by_anchor), "lo": F.min("doc").over(by_anchor), "hi": F.max("doc").over(by_anchor)})
-    # A run has fewer than 2 * length bytes.
-    hot = (F.col("n_open") > hot_runs) | (F.col("n_open") * (2 * length) > HOT_BYTES)
-    kind = F.when(F.col("least") < F.col("doc"), FULL).when((F.col("n_runs") > 1) & (F.col("lo") < F.col("hi")), F.when(hot, HOT).otherwise(OPEN))
-    flags = cut(rows.withColumn("kind", kind).filter("kind is not null").select("doc", "s", "kind"), "runs")
-    pick = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("s")))
-    lists = flags.groupBy("doc").agg(pick(FULL).alias("full"), pick(OPEN).alias("open"), pick(HOT).alias("hot"))
+    rows = rows.withColumn("least", carried).withColumns({"n_runs": F.sum("new").over(by_anchor), "lo": F.min("least").over(by_anchor), "hi": F.max("least").over(by_anchor)})
+    # A run has fewer than 2 * length bytes; each has one row that is open, that of its smallest id.
+    hot = (F.col("n_runs") > hot_runs) | (F.col("n_runs") * (2 * length) > HOT_BYTES)
+    kind = F.when(F.col("full").isNotNull() | (F.col("least") < F.col("doc")), FULL).when((F.col("n_runs") > 1) & (F.col("lo") < F.col("hi")), F.when(hot, HOT).otherwise(OPEN))
+    flags = cut(rows.withColumn("kind", kind).filter("kind is not null").select("doc", "s", "kind", "full"), "runs")
+    pick = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("s")))
+    lists = flags.groupBy("doc").agg(F.concat(F.flatten(F.collect_list("full")), pick(FULL)).alias("full"), pick(OPEN).alias("open"), pick(HOT).alias("hot"))
     joined = base.withColumn("th", F.xxhash64("text")).join(lists, "doc").select("doc", "th", "text", "full", "open", "hot")
     pieces = cut(joined.mapInArrow(_pieces(length), PIECES), "pieces")
     marks = "doc long, th long, starts array<int>, ends array<int>"

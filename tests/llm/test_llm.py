@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from shardloom.llm import anchors, bpe, exact_dedup, fingerprints, jaccard_join, language_id, mixing, pii, queries, suffix_dedup, token_counts, url_filters
+from shardloom.llm import shingles as shingles_of
 from shardloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -202,10 +203,77 @@ def test_suffix_dedup_takes_a_texts_equal_runs_once(spark, hot, monkeypatch):
 def test_anchor_runs():
     rng = random.Random(3)
     for _ in range(60):
-        b = np.frombuffer(bytes(rng.randint(97, rng.choice([97, 98, 120])) for _ in range(rng.randint(50, 300))), np.uint8)
-        place, _, s, e = anchors.runs(b, 50)
-        h = anchors.window_hashes(b, anchors.K)
-        assert np.repeat(place, e - s).tolist() == [min(range(i, i + 51 - anchors.K), key=lambda j: (h[j], j)) for i in range(len(b) - 49)]
+        texts = [bytes(rng.randint(97, rng.choice([97, 98, 120])) for _ in range(rng.choice([0, 10, 49, 50, 51, rng.randint(50, 300)]))) for _ in range(rng.randint(1, 4))]
+        r = anchors.runs(texts, 50)
+        joined, at, want = b"".join(texts), 0, []
+        h = anchors.window_hashes(np.frombuffer(joined, np.uint8), anchors.K) if len(joined) >= anchors.K else []
+        for k, t in enumerate(texts):
+            want += [(k, i, min(range(i, i + 51 - anchors.K), key=lambda j: (h[j], j))) for i in range(at, at + len(t) - 49)]
+            at += len(t)
+        assert [(k, i, p) for k, p, s, e in zip(r.text.tolist(), r.place.tolist(), r.start.tolist(), r.end.tolist()) for i in range(s, e)] == want
+        same = {}
+        for s, e, p, a, c in zip(r.start.tolist(), r.end.tolist(), r.place.tolist(), r.anchor.tolist(), r.content.tolist()):
+            assert same.setdefault(c, (joined[s : e + 49], p - s, a)) == (joined[s : e + 49], p - s, a)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_hashes_have_no_structure_of_sums():
+    a, b = thue_morse(4096).encode(), thue_morse(4096).translate(str.maketrans("ab", "ba")).encode()
+    ends = np.array([len(a), len(a) + len(b)])
+    x, y = shingles_of.hashes(a + b, ends - len(a), ends)
+    assert x != y
+    rng = random.Random(5)
+    words = sorted({bytes(rng.choice(b"ab\x00") for _ in range(rng.randrange(20))) for _ in range(3000)})
+    ends = np.cumsum([len(w) for w in words])
+    assert len(set(shingles_of.hashes(b"".join(words), ends - [len(w) for w in words], ends).tolist())) == len(words)
+
+
+def test_words_whose_polynomials_collide_do_not_link(spark):
+    a = thue_morse(2048)
+    rows = [(1, a), (2, a.translate(str.maketrans("ab", "ba"))), (3, a)]
+    got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), width=4, num=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_long_runs_of_one_character(spark):
+    for c in "x 0":
+        rows = [(1, c * 80_000), (2, "start " + c * 300 + " middle " + c * 70 + " end"), (3, c * 49), (4, c * 50)]
+        got = suffix_dedup.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(tuple(r) for r in got) == sorted(removed(rows, 50))
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 4000):
+        keys = np.sort(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        nodes = (7 << 32) + rng.integers(0, 1 << 32, n)
+        k, x = jaccard_join.unpack_keys(jaccard_join.pack_keys(keys, nodes))
+        assert (k == keys).all() and (x == nodes).all()
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_families_of_near_copies(spark, held, monkeypatch):
+    """Groups with more members than a task sends at once, of which many link with none."""
+    monkeypatch.setattr(jaccard_join, "HELD_KEYS", held)
+    rng = random.Random(12)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(60)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 5, 9])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [(i, shingles(t, 4)) for i, t in rows]
+    root = {i: i for i, _ in rows}
+    for _ in range(150):
+        for i, a in sets:
+            for j, b in sets:
+                if root[i] < root[j] and 100 * len(a & b) >= 85 * len(a | b):
+                    root[j] = root[i]
+    got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=4, num=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == root and len(set(root.values())) > 10
 
 
 def canon(t):
