@@ -45,7 +45,7 @@ BROADCAST_IDS = 1_000_000
 #: Distinct sets that a task remembers, so as to send a set's parts once.
 REMEMBERED = 50_000
 #: Keys that a task holds before it sends them.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 19
 ROWS = "id long, n long, f1 long, f2 long, fold array<long>, wide array<long>, node long, part int, blob binary, key long, hub long"
 COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 KINDS = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
