@@ -1,7 +1,7 @@
 """N-gram Jaccard join by parity sketches.
 
 Sizes fall into bands so narrow that linked sets lie in one band or in neighbours. A band's join bounds the symmetric
-difference of any linked pair by D. Every shingle toggles one bit of a sketch of m parts of 128 bits, so the Hamming
+difference of any linked pair by D. Every shingle toggles one bit of a sketch of m parts of BITS bits, so the Hamming
 distance of two sketches is at most the symmetric difference, and sketches at most D apart agree on at least m - D
 parts. A set leaves out its z emptiest parts; with m = D + 1 + 2z linked sets still share a part that both keep. Sets
 that share a part are candidates; a sketch of FOLD bits rules most unrelated ones out by its Hamming distance, and what
@@ -34,7 +34,8 @@ from .common import cut, keep_ids, whole_number
 from .components import components
 from .shingles import U, mix, shingle_sets
 
-BITS = 128
+#: Bits of a sketch's part. They are never laid out, so a part with two or three set is still told from most others.
+BITS = 1 << 16
 FOLD = 512
 #: For sets of at least WIDE_FROM shingles, on which a FOLD of random bits is too close, one more sketch.
 WIDE, WIDE_FROM = 4096, 600
@@ -76,12 +77,16 @@ def part_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
             continue
         m, z = joins[i]
         part = ((hashes >> U(32)) * U(m) >> U(32)).astype(np.int64)
-        bits = np.bincount(part * BITS + (hashes & U(BITS - 1)).astype(np.int64), minlength=m * BITS).astype(np.uint8) & 1
-        sketch = np.packbits(bits).view(U).reshape(m, 2)
+        order = np.argsort(part, kind="stable")
+        held = np.bincount(part, minlength=m)
+        first = np.cumsum(held) - held
+        # A part's bits go by the XOR of a number for each bit; a bit that is set twice is not set.
+        value = np.append(mix((hashes & U(BITS - 1)) + U(1))[order], U(0))
+        sketch = np.bitwise_xor.reduceat(value, first) * (held > 0)
         keep = np.ones(m, bool)
-        keep[np.argsort(np.bincount(part, minlength=m), kind="stable")[:z]] = False
+        keep[np.argsort(held, kind="stable")[:z]] = False
         with np.errstate(over="ignore"):
-            out.append(mix(mix(sketch[:, 0] + U(i * 2 + 1)) * U(3) + sketch[:, 1] + mix(np.arange(m, dtype=U)))[keep] >> U(64 - KEY_BITS))
+            out.append(mix(mix(sketch + U(i * 2 + 1)) + mix(np.arange(m, dtype=U)))[keep] >> U(64 - KEY_BITS))
     return np.concatenate(out) if out else np.empty(0, U)
 
 
