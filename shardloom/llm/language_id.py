@@ -8,6 +8,7 @@ windows from its start to its end; its scores are the mean of theirs, weighted b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,9 +169,9 @@ def has_letter(text: str) -> bool:
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> Model | None:
-    """labelled rows -> a model, or None if there is nothing to learn from. At most per_lang texts a language reach the driver."""
+    """labelled rows -> a model, or None if there is nothing to learn from. Every language is learned; at most per_lang texts of each reach the driver."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
-    counts = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(1000).collect()}
+    counts = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     place = F.xxhash64(F.col(id_col).cast("string"), F.lit(5))
@@ -193,6 +194,17 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
     return Model(Net(langs).fit(x[use], of[owner][use]))
 
 
+def _judged(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    rows = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
+    data = [texts[i].encode("utf-8", "surrogatepass") for i in rows]
+    for a, b in blocks([len(t) for t in data]):
+        best, p = model.predict(data[a:b])
+        for i, k, s in zip(rows[a:b], best.tolist(), p.tolist(), strict=True):
+            lang[i], score[i] = model.langs[k], s
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score for every row; only the text decides.
 
@@ -202,19 +214,12 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            rows = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
-            data = [texts[i].encode("utf-8", "surrogatepass") for i in rows]
-            for a, b in blocks([len(t) for t in data]):
-                best, p = model.predict(data[a:b])
-                for i, k, s in zip(rows[a:b], best.tolist(), p.tolist(), strict=True):
-                    lang[i], score[i] = model.langs[k], s
+            lang, score = _judged(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -227,7 +232,18 @@ def trained_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those whose language can't be told (und); all columns kept. Rows that repeat an id are judged each."""
+    """docs without those whose language can't be told (und); all columns kept. Rows that repeat an id are judged each.
+
+    Only the texts go through Python, a few at a time; the rest of the rows stays where it is.
+    """
     model = trained_on(docs, id_col, text_col, lang_col)
-    judged = identify(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col)), model, "row", text_col)
-    return judged.filter("lang_pred <> 'und'").select("row.*")
+    ship(docs.sparkSession)
+
+    def told(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            out = []
+            for i in range(0, len(part), 512):
+                out += [x != "und" for x in _judged(model, part.slice(i, 512).to_pylist())[0]]
+            yield pa.array(out, pa.bool_())
+
+    return docs.filter(F.arrow_udf(told, "boolean")(F.col(f"`{text_col}`")))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import WORD, cut, sized
+from .common import WORD, cut, fresh, sized
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -34,6 +34,10 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("a"), source), F.lit("b"))
 
 
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """totals: key, total (words of a source) -> key, total, docs..., target.
 
@@ -103,13 +107,13 @@ def round_cells(rows: pd.DataFrame, most: int = MOST) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """id, size, source_size, target, copies, taken for every row.
+    """id, size, source_size, target, taken, copies, source_key for every row.
 
     Null text has size 0; null sources are one source, the last. A text without words is never taken; a repeated id
     counts as often as it occurs. Ties of id within a size break by nothing that a row can be told by, so reruns
     agree. An empty table gives no rows; other columns are ignored.
     """
-    rows_of = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    rows_of = cut(docs.select(F.col(f"`{id_col}`").alias("id"), source_key(F.col(f"`{source_col}`")).alias("key"), words(F.col(f"`{text_col}`")).alias("size")), "sizes")
     cells = cut(rows_of.groupBy("key", "size").agg(F.count("*").alias("n")), "cells")
     goals = cut(targets(cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("n_docs")), weights, share, most), "goals")
     lams = duals(cells, goals, most)
@@ -130,11 +134,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     settled = rows.filter("extra = 0").withColumn("made", F.col("each"))
     cols = ["key", "id", "size", "made"]
     out = chosen.select(cols).unionByName(settled.select(cols)).join(sized(goals.select("key", "total", "target")), "key")
-    return out.select(F.col("id").alias(id_col), "size", F.col("total").alias("source_size"), "target", (F.col("made") * F.col("size")).alias("taken"), F.col("made").alias("copies"))
+    return out.select(F.col("id").alias(id_col), "size", F.col("total").alias("source_size"), "target", (F.col("made") * F.col("size")).alias("taken"), F.col("made").alias("copies"), F.col("key").alias("source_key"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; all columns kept."""
-    made = cut(mix(docs, id_col, text_col, source_col).filter("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.first("copies").alias("_copies")), "made")
-    rows = docs.join(sized(made), F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """docs with every row repeated as often as the mix takes it; all columns kept.
+
+    Rows that repeat an id, or have none, are told apart by source, size and text; where these agree too, the rows are equal
+    to the mix, and which of them gets which number of copies shows in nothing but the other columns.
+    """
+    id_, many, copy = (fresh(docs.columns, name) for name in ("_id", "_copies", "_copy"))
+    made = cut(mix(docs, id_col, text_col, source_col).select(F.col(f"`{id_col}`").alias(id_), "source_key", "size", "copies"), "made")
+    per_id = cut(made.groupBy(id_).agg(F.count("*").alias("rows"), F.first("copies").alias(many)), "per_id")
+    repeated = per_id.filter("rows > 1").select(id_)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(id_))
+    times = lambda rows: rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select([f"`{c}`" for c in docs.columns])
+    out = times(docs.join(sized(per_id.filter(F.col("rows") == 1).filter(F.col(many) > 0).select(id_, many)), same))
+    if repeated.isEmpty():
+        return out
+    key, size, place = (fresh([*docs.columns, id_, many, copy], name) for name in ("_key", "_size", "_place"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.join(sized(repeated), same, "left_semi").withColumns({key: source_key(F.col(f"`{source_col}`")), size: words(text)})
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(id_col, key, size).orderBy(F.xxhash64(text), text)))
+    given = made.join(sized(repeated.withColumnRenamed(id_, "rid")), F.col(id_).eqNullSafe(F.col("rid")), "left_semi")
+    given = given.select(id_, F.col("source_key").alias("k"), F.col("size").alias("n"), F.col("copies").alias(many), F.row_number().over(Window.partitionBy(id_, "source_key", "size").orderBy(F.desc("copies"))).alias("p"))
+    more = rows.join(given.filter(F.col(many) > 0), same & (F.col(key) == F.col("k")) & (F.col(size) == F.col("n")) & (F.col(place) == F.col("p")))
+    return out.unionByName(times(more))

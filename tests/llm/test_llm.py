@@ -57,7 +57,7 @@ def test_empty_tables(spark, empty):
 def test_exact_groups(docs):
     df, rows = docs
     norm = [(i, (t or "").translate(LOW)) for i, t, *_ in rows]
-    got = exact_dedup.exact_groups(df, capacity=8).collect()  # a small capacity doubles the directory
+    got = exact_dedup.exact_groups(df, capacity=2000).collect()  # a small capacity doubles the directory
     want = sorted((i, max(j for j, u in norm if u == t), sum(u == t for _, u in norm), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm)
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
@@ -112,15 +112,10 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
 
 
-def test_mix(docs):
-    df, rows = docs
-    got = mixing.mix(df).collect()
-    size = lambda t: len(WORD.findall(t or ""))
-    total = {}
-    for _, t, _, s, *_ in rows:
-        total[s] = total.get(s, 0) + size(t)
-    keys = sorted(k for k in total if k is not None) + [None]
-    goal, left, open_ = {}, 1.5 * sum(total.values()), dict(zip(keys, (5.0, 2.0, 1.0)))
+def goals(total):
+    """Targets by filling sources up to their caps, one after another."""
+    keys = sorted(k for k in total if k is not None) + [None] * (None in total)
+    goal, left, open_ = {}, 1.5 * sum(total.values()), {k: (5.0, 2.0, 1.0)[i % 3] for i, k in enumerate(keys)}
     while open_:
         per = left / sum(open_.values())
         over = [k for k, w in open_.items() if per * w >= 2 * total[k]]
@@ -131,6 +126,17 @@ def test_mix(docs):
             goal[k] = 2.0 * total[k]
             left -= goal[k]
             del open_[k]
+    return goal
+
+
+def test_mix(docs):
+    df, rows = docs
+    got = mixing.mix(df).collect()
+    size = lambda t: len(WORD.findall(t or ""))
+    total = {}
+    for _, t, _, s, *_ in rows:
+        total[s] = total.get(s, 0) + size(t)
+    goal = goals(total)
     taken = {}
     of = {i: s for i, _, _, s, *_ in rows}
     for r in got:
@@ -435,16 +441,129 @@ def test_feistel_is_a_permutation():
         assert all(f.back(f.forward(x, n, b"t"), n, b"t") == x for x in range(n))
 
 
-def test_pipeline(spark):
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _id long, _copy int, _copies int, _own string, _sha string, count long, h long, size long"
+
+
+def messy(spark, n=80):
+    """A corpus with null and repeated ids, null, empty and wordless texts, ties, and columns named as helpers are."""
+    rows = [(i, t, lang, src) for i, t, lang, src, *_ in corpus(n, 7)]
+    rows += [(None, "kept without an id, one", "en", "a"), (None, "kept without an id, two", "en", "b"), (None, "Kept without an id, TWO", "en", "b"), (None, None, None, None)]
+    rows += [(7000, "an id that repeats " + "over and over " * 9, "fr", "a"), (7000, "an id that repeats, but for the text of it", "fr", "a"), (7000, "an id that repeats, but for the text of it", "fr", "b"), (7001, "... 12 !?", "en", "a")]
+    return spark.createDataFrame([(i, t, lang, s, None, 77, 5, 6, "o", "s", 3, 4, 9) for i, t, lang, s in rows], CLASH).repartition(3)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    sf = "/root/testdata/sf0.001"
-    first = docs = spark.read.parquet(f"{sf}/documents.parquet")
+    table = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    docs = messy(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    size = lambda t: len(WORD.findall(t or ""))
+    seen = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf).cache()
-        assert docs.columns == first.columns, name
-    assert 0 < docs.count()
-    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+        before = seen.collect()
+        seen = stage(spark, seen, str(tmp_path)).cache()
+        assert seen.columns == docs.columns, name
+        if name == "language_id":
+            want = [r for r in before if any(c.isalpha() for c in r["text"] or "")]
+        elif name == "exact_dedup":
+            norm = lambda r: (r["text"] or "").translate(LOW)
+            key = lambda r: -1 if r["doc_id"] is None else r["doc_id"]
+            groups = {}
+            for r in before:
+                groups.setdefault(norm(r), []).append(r)
+            ids = {t: max(map(key, g)) for t, g in groups.items()}
+            got = seen.collect()
+            assert sorted((norm(r), key(r)) for r in got) == sorted(ids.items()) and all(r in before for r in got)
+            continue
+        elif name == "ngram_jaccard_join":
+            sets = [(r["doc_id"], shingles(r["text"], 5)) for r in before]
+            root = {i: i for i, _ in sets if i is not None}
+            for _ in range(len(root)):
+                old = dict(root)
+                for i, a in sets:
+                    for j, b in sets:
+                        if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                            root[i] = root[j] = min(root[i], root[j])
+                if old == root:
+                    break
+            want = [r for r in before if r["doc_id"] is None or root[r["doc_id"]] == r["doc_id"]]
+        else:
+            copies, got = {}, seen.collect()
+            for r in got:
+                copies[str(tuple(r))] = copies.get(str(tuple(r)), 0) + 1
+            assert max(copies.values()) <= 2 and set(copies) <= {str(tuple(r)) for r in before}
+            total, taken = {}, {}
+            for r in before:
+                total[r["source"]] = total.get(r["source"], 0) + size(r["text"])
+            for r in got:
+                taken[r["source"]] = taken.get(r["source"], 0) + size(r["text"])
+            goal = goals(total)
+            for s in goal:
+                largest = max(size(r["text"]) for r in before if r["source"] == s)
+                assert abs(taken.get(s, 0) - goal[s]) <= max(largest / 2 + 1, 0.02 * goal[s] + 5), s
+            assert table(seen) == table(stage(spark, spark.createDataFrame(before, docs.schema).repartition(2), str(tmp_path)))
+            continue
+        assert sorted(map(str, map(tuple, want))) == table(seen), name
+    lib = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    want = [(r["doc_id"], len(lib.encode(r["text"] or "", add_special_tokens=False).ids)) for r in seen.collect()]
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_tokens"])) for r in got.collect())
+
+
+def test_stages_take_empty_tables(spark):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], CLASH)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").isEmpty()
+
+
+def test_index_is_reopened_and_extended(spark, docs):
+    df, rows = docs
+    first = df.filter("doc_id < 90")
+    _, keys, texts = exact_dedup._scanned(first, "doc_id", "text")
+    directory = exact_dedup.Directory.build(keys.select("h", "load"), 2000)
+    assert directory.bits > 1 and directory.slots.count() == 1 << directory.bits
+    made = exact_dedup.Index.write(exact_dedup._chained(exact_dedup._owned(texts, keys, directory, 2000)), directory, 2000)
+    again = exact_dedup.Index(spark, made.path).extend(df.filter("doc_id >= 90"))
+    norm = [(i, (t or "").translate(LOW)) for i, t, *_ in rows]
+    want = sorted((hashlib.sha256(t.encode()).hexdigest(), max(i for i, u in norm if u == t), sum(u == t for _, u in norm)) for t in {t for _, t in norm})
+    assert sorted((r["sha"], r["keep_id"], r["group_size"]) for r in again.entries.collect()) == want
+    assert again.directory.bits >= directory.bits
+    # Every key lies in the bucket that the directory names.
+    assert again.entries.count() == again.directory.assign(again.entries.drop("depth", "prefix")).join(again.entries, ["depth", "prefix", "h", "sha"]).count()
+
+
+def test_hot_texts_have_several_owners(spark):
+    rows = [(i, "The same " * 50) for i in range(300)] + [(i, f"text {i}") for i in range(300, 360)]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), capacity=3000).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == [(i, 299 if i < 300 else i, 300 if i < 300 else 1) for i, _ in rows]
+
+
+def test_mixed_documents_with_repeated_ids(spark):
+    rows = [(1, "a b c", "x", 70), (1, "a b c", "x", 71), (1, "d e f g", "x", 72), (1, "d e f g", "y", 73), (None, "h i", "x", 74), (None, "j k", "x", 75), (2, "", "x", 76)] + [(10 + i, "w " * (i % 7 + 1), "xyz"[i % 3], i) for i in range(60)]
+    df = spark.createDataFrame([(i, t, s, c, c, c) for i, t, s, c in rows], "doc_id long, text string, source string, _copy int, _copies int, _id int")
+    got = mixing.mixed_documents(df).collect()
+    assert mixing.mixed_documents(df).columns == df.columns and all(r["_copy"] == r["_copies"] == r["_id"] for r in got)
+    per_row = {}
+    for r in got:
+        per_row[r["_copy"]] = per_row.get(r["_copy"], 0) + 1
+    made = {}
+    for r in mixing.mix(df).collect():
+        made.setdefault((r["doc_id"], r["source_key"], r["size"]), []).append(r["copies"])
+    mine = {}
+    for i, t, s, c in rows:
+        mine.setdefault((i, "a" + s, len(t.split())), []).append(per_row.get(c, 0))
+    assert {k: sorted(v) for k, v in made.items()} == {k: sorted(v) for k, v in mine.items()}
+
+
+def test_ids_that_are_no_numbers_are_an_error(spark):
+    df = spark.createDataFrame([("x", "a b c")], "doc_id string, text string")
+    for f in (jaccard_join.near_components, suffix_dedup.dedup_digests):
+        with pytest.raises(TypeError):
+            f(df)
 
 
 def test_trimmed_copies_of_many_sizes_link(spark):
