@@ -11,7 +11,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 from math import isqrt
 
 import pyarrow as pa
@@ -23,23 +25,28 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
-RUN = re.compile(r"[0-9+(][0-9 ().+/\-]*[0-9]")
+RUN = re.compile(r"[0-9 ().+/\-]+")
 NUMBERS = {
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
-    "phone": r"(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}(?P<mark>[-. ])[0-9]{3}(?P=mark)[0-9]{4})",
+    "phone": r"(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}(?P<mark>[-. ])[0-9]{3}(?P=mark)[0-9]{4}|0[1-9][0-9]{1,3}[-/ ][0-9]{6,8})",
 }
-HEAD, TAIL = r"(?<![\w@/])(?<![0-9]\.)", r"(?![\w@]|-[0-9])"
+#: A date may have a time of day after it.
+HEAD, TAIL = r"(?<![\w@/])(?<![0-9]\.)", r"(?:(?=T[0-9]{2}:)|(?![\w@]|-[0-9]))"
+AHEAD = 4
 NUMBER = re.compile(f"{HEAD}(?:{'|'.join(NUMBERS.values())}){TAIL}", re.ASCII)
 EACH = {k: re.compile(f"{v}{TAIL}", re.ASCII) for k, v in NUMBERS.items()}
 AFTER = re.compile(TAIL, re.ASCII)
-LOCAL = re.compile(r"[\w.%+-]+\Z")
+LOCAL = re.compile(r"[\w.%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
-CAPITALS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+(?![A-Za-z0-9])")
-
+_IBAN = r"[{0}]{{2}}[0-9]{{2}}(?:[{0}0-9]{{11,30}}|(?: [{0}0-9]{{4}}){{2,7}}(?: [{0}0-9]{{1,4}})?)"
+IBAN = re.compile(f"(?<![A-Za-z0-9])(?:{_IBAN.format('A-Z')}|{_IBAN.format('a-z')})(?![A-Za-z0-9])")
+GROUPS = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+|[a-z]{2}[0-9]{2}(?: ?[a-z0-9])+)(?![A-Za-z0-9])")
+#: Country calling codes of one and two digits (fixed values); all others have three.
+CALLING = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49"}
+CALLING |= {str(x) for x in (*range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98)}
 
 
 class Feistel:
@@ -73,30 +80,30 @@ class Feistel:
                 return x
 
 
-def _radix(c: str) -> tuple[int, int]:
-    for first, n in (("0", 10), ("a", 26), ("A", 26)):
-        if 0 <= (k := ord(c) - ord(first)) < n:
-            return k, n
-    return 0, 1
+@cache
+def _alphabet(c: str) -> str:
+    """Characters that a letter or number may turn into: those of its category among the 128 around it."""
+    kind, first = unicodedata.category(c), ord(c) & ~127
+    if kind[0] not in "LN":
+        return c
+    return "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind)
 
 
 def rank(text: str) -> tuple[int, int]:
-    """Number of a text among all that have a digit, small or capital letter where it has one, and their count."""
+    """Number of a text among all that have letters and digits of the same alphabets in its places, and their count."""
     x, size = 0, 1
     for c in text:
-        k, n = _radix(c)
-        x, size = x * n + k, size * n
+        letters = _alphabet(c)
+        x, size = x * len(letters) + letters.index(c), size * len(letters)
     return x, size
 
 
 def unrank(x: int, like: str) -> str:
     out = []
     for c in reversed(like):
-        k, n = _radix(c)
-        if n > 1:
-            x, r = divmod(x, n)
-            c = chr(ord(c) - k + r)
-        out.append(c)
+        letters = _alphabet(c)
+        x, r = divmod(x, len(letters))
+        out.append(letters[r])
     return "".join(reversed(out))
 
 
@@ -126,12 +133,12 @@ class Pseudonyms:
 
     def iban(self, v: str) -> str | None:
         def check(country: str, body: str) -> int:
-            return int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+            return int("".join(str(int(c, 36)) for c in body + country + "00")) % 97  # letters count alike in either case
 
         like, v = v, v.replace(" ", "")
         if not 15 <= len(v) <= 34 or (check(v[:2], v[4:]) + int(v[2:4])) % 97 != 1:
             return None
-        body = self._whole(v[4:], b"iban" + v[:2].encode())
+        body = self._whole(v[4:], b"iban" + v[:2].upper().encode())
         it = iter(f"{v[:2]}{98 - check(v[:2], body):02d}{body}")
         return "".join(c if c == " " else next(it) for c in like)
 
@@ -156,34 +163,19 @@ class Pseudonyms:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        padded = {k: len(s) == 2 for k, s in p.items() if s[0] == "0" or len(s) == 1}
-
-        def write(n: int) -> str | None:
-            d = datetime.date.fromordinal(FIRST_DAY + n)
-            out = []
-            for k in order:
-                if k == "y":
-                    out.append(str(d.year))
-                    continue
-                x = d.day if k == "d" else d.month
-                if len(p[k]) == 1 and x > 9 or len(p[k]) == 2 and x < 10 and not padded.get(k, all(padded.values())):
-                    return None
-                out.append(str(x).zfill(len(p[k])))
-            if order == "dmy" and mark == "/" and d.day <= 12:
-                return None
-            return mark.join(out) if len(p["d"]) + len(p["m"]) == sum(len(out[order.index(k)]) for k in "dm") else None
-
-        shape = f"{order}{mark}{len(p['d'])}{len(p['m'])}{sorted(padded.items())}".encode()
-        n = self.walk(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date" + shape, lambda y: (w := write(y)) is not None and self._shape(w, mark) == shape)
-        return write(n)
-
-    @staticmethod
-    def _shape(v: str, mark: str) -> bytes:
-        a, b, c = v.split(mark)
-        order = "ymd" if mark == "-" else "dmy" if mark == "." or int(a) > 12 else "mdy"
-        p = dict(zip(order, (a, b, c), strict=True))
-        padded = {k: len(s) == 2 for k, s in p.items() if s[0] == "0" or len(s) == 1}
-        return f"{order}{mark}{len(p['d'])}{len(p['m'])}{sorted(padded.items())}".encode()
+        # What a format can say of a day is kept by the permutation, which goes by the day alone: whether its day or month has
+        # one digit (so that padding shows) and whether its day is past 12 (so that the order of a date with slashes shows).
+        told = lambda n: ((d := datetime.date.fromordinal(FIRST_DAY + n)).day > 12, min(d.day, d.month) < 10)
+        like, short = told(day - FIRST_DAY), [k for k in "dm" if len(p[k]) == 1]
+        padded = any(p[k][0] == "0" for k in "dm")
+        if short and padded:  # one part padded and one not: a format of its own, where that has to show again
+            mixed = lambda n: told(n) == like and (datetime.date.fromordinal(FIRST_DAY + n).day < 10) and (datetime.date.fromordinal(FIRST_DAY + n).month < 10)
+            n = self.walk(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date" + short[0].encode(), mixed)
+        else:
+            n = self.walk(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", lambda n: told(n) == like)
+        d = datetime.date.fromordinal(FIRST_DAY + n)
+        parts = {"y": str(d.year), "d": str(d.day), "m": str(d.month)}
+        return mark.join(parts[k].zfill(2) if k != "y" and k not in short and (padded or not short) else parts[k] for k in order)
 
     def ssn(self, v: str) -> str | None:
         valid = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
@@ -200,8 +192,7 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", v)
         if not 8 <= len(digits) <= 15 or v.count("(") != v.count(")"):
             return None
-        kept = len(re.match(r"\+?([0-9]*)", v)[1][:3]) if v[0] == "+" else 0
-        kept = 1 if v[0] == "+" and digits[0] == "1" else kept
+        kept = next((n for n in (1, 2) if digits[:n] in CALLING), 3) if v[0] == "+" else int(digits[0] == "0")
         area = digits[kept] > "1"
         return _spread(digits[:kept] + self._whole(digits[kept:], b"phone" + digits[:kept].encode(), lambda s: (s[0] > "1") == area), v)
 
@@ -227,7 +218,7 @@ class Pseudonyms:
         return None
 
     def _numbers(self, text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
-        out, at, end = [], lo, min(len(text), hi + 2)
+        out, at, end = [], lo, min(len(text), hi + AHEAD)
         while m := NUMBER.search(text, at, end):
             hit = self._number(text, m.start(), end)
             if hit:
@@ -252,23 +243,23 @@ class Pseudonyms:
                 want.append((len(new), len(new) + len(v), kind))
                 new, at = new + v, e
             new += text[at:hi]
-            if split(new + text[hi : hi + 2], first, len(new)) == want:
+            if split(new + text[hi : hi + AHEAD], first, len(new)) == want:
                 break
         return [(*span, v) for span, v in zip(spans, values, strict=True)]
 
     def found(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of what is validated, in order and apart."""
         out: list[tuple[int, int, str, str]] = []
-        at = text.find("@")
+        at, before = text.find("@"), 0
         while at >= 0:
-            head = LOCAL.search(text, max(0, at - 128), at)
+            head = LOCAL.match(text[before:at][::-1])
             tail = DOMAIN.match(text, at + 1)
             if head and tail:
-                start = head.start() + len(head[0]) - len(head[0].lstrip(".%+-"))
-                if start < at:
-                    out.append((start, at, "email", self.email(text[start:at])))
-            at = text.find("@", at + 1)
-        for m in CAPITALS.finditer(text):
+                local = head[0][::-1].lstrip(".%+-")
+                if local:
+                    out.append((at - len(local), at, "email", self.email(local)))
+            at, before = text.find("@", at + 1), at + 1
+        for m in GROUPS.finditer(text):
             out += self._renamed(text, m.start(), m.end(), self._ibans)
         parts, at = [], 0
         for a, b, *_ in sorted(out):
@@ -276,7 +267,9 @@ class Pseudonyms:
             at = max(at, b)
         rest = "".join([*parts, text[at:]])  # no number overlaps what is taken
         for m in RUN.finditer(rest):
-            out += self._renamed(rest, m.start(), m.end(), self._numbers)
+            hi = m.start() + len(m[0].rstrip(" ().+/-"))
+            if hi - m.start() > 6:  # no kind has fewer characters
+                out += self._renamed(rest, m.start(), hi, self._numbers)
         return sorted(out)
 
     def apply(self, text: str) -> tuple[str, dict[str, int]]:
