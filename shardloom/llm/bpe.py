@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -60,6 +61,25 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[
     return [s for s in symbols if s >= 0]
 
 
+def supported(data: dict, normalizer: object, pre_tokenizer: object) -> None:
+    """An error for a file whose settings aren't those that are built here. trim_offsets has no part in ids."""
+    plain = lambda x: [plain(y) for y in x] if isinstance(x, list) else {k: plain(y) for k, y in x.items() if k != "trim_offsets"} if isinstance(x, dict) else x
+    model = data["model"]
+    off = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd = [t["content"] for t in data["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    if model["type"] != "BPE" or off or odd or data.get("post_processor"):
+        raise ValueError(f"not supported: model {model['type']}, settings {off}, added tokens {odd}, post-processor {data.get('post_processor')}")
+    for name, want in (("normalizer", normalizer), ("pre_tokenizer", pre_tokenizer)):
+        if plain(data.get(name)) != want:
+            raise ValueError(f"not supported: {name} {data.get(name)}")
+
+
+#: Settings of the word-end files, as they stand in them.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]}
+
+
 class WordBpe:
     """A word-end BPE file: normalised by composition, white space runs to one blank and lower case; words by pretokens.bare."""
 
@@ -69,6 +89,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        supported(data, NORMALIZER, PRE_TOKENIZER)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -81,6 +102,7 @@ class WordBpe:
         self.inner = [self.vocab.get(letters[b], -1) for b in range(256)]
         self.last = [self.vocab.get(letters[b] + self.end, -1) for b in range(256)]
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.led = os.path.commonprefix(list(self.special))
         #: word -> its ids, and its tokens, joined by blanks
         self.young: tuple[dict[str, str], dict[str, str]] = ({}, {})
         self.old: tuple[dict[str, str], dict[str, str]] = ({}, {})
@@ -114,7 +136,7 @@ class WordBpe:
         """Each text's words. Text between specials is split alone; a special is a piece that starts with a tab, which no word has."""
         parts, owner = [], []
         for i, t in enumerate(texts):
-            for k, part in enumerate(self.split.split(t) if "<|" in t else (t,)):
+            for k, part in enumerate(self.split.split(t) if self.special and self.led in t else (t,)):
                 parts.append("\t" + part if k % 2 else self.normal(part))
                 owner.append((i, k % 2))
         out: list[list[str]] = [[] for _ in texts]

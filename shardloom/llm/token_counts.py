@@ -22,8 +22,10 @@ from . import pretokens
 from .bpe import loaded
 from .common import blocks
 
-CHUNK = 1 << 18
+#: Characters above which a text is cut into chunks, and of their overlap. Short texts are laid together up to BLOCK.
+CHUNK = 1 << 14
 OVERLAP = 1 << 10
+BLOCK = 1 << 18
 MARGIN = 64
 LIMIT = 512
 
@@ -38,10 +40,11 @@ class ByteBpe:
 
         import tiktoken
 
-        from .bpe import byte_letters
+        from .bpe import byte_letters, supported
 
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        supported(data, None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
         back = {c: b for b, c in byte_letters().items()}
         self.special = [t["content"] for t in data["added_tokens"]]
         skip = set(self.special)
@@ -51,16 +54,16 @@ class ByteBpe:
         ranks = {bytes([b]): i for i, b in enumerate(range(256)) if bytes([b]) in vocab}
         for r, (a, b) in enumerate(pairs):
             ranks.setdefault(bytes([back[c] for c in a + b]), 256 + r)
-        self.core = tiktoken.Encoding("own", pat_str="[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.core = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
     def counts(self, words: list[str]) -> list[int]:
-        young, old, one = self.young, self.old, self.core.encode_single_piece
+        young, old, one = self.young, self.old, self.core.encode_ordinary
         for w in set(words):
             if w not in young:
                 got = old.get(w)
-                young[w] = got if got is not None else len(one(w.encode("utf-8", "surrogatepass")))
+                young[w] = got if got is not None else len(one(w))
         out = [young[w] for w in words]
         if len(young) > self.KEPT:
             self.old, self.young = young, {}
@@ -121,6 +124,16 @@ def spliced(text: str, encode: Callable[[str], tuple[np.ndarray, np.ndarray]], c
     return total + int(counts[starts + base >= proven].sum())
 
 
+def _together(sizes: list[int], chunk: int):
+    """Ranges of texts of at most BLOCK characters in all; a text of more than a chunk stands alone."""
+    at = 0
+    for i in [i for i, n in enumerate(sizes) if n > chunk] + [len(sizes)]:
+        yield from ((at + a, at + b) for a, b in blocks(sizes[at:i], BLOCK))
+        if i < len(sizes):
+            yield i, i + 1
+        at = i + 1
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for every row.
 
@@ -134,8 +147,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = np.zeros(len(texts), np.int64)
             sizes = [len(t) for t in texts]
-            for a, b in blocks(sizes, chunk):
-                if b - a == 1 and sizes[a] > chunk:
+            for a, b in _together(sizes, chunk):
+                if sizes[a] > chunk:
                     n[a] = spliced(texts[a], bpe.chunk, chunk, overlap)
                     continue
                 starts, counts, cuts = bpe.words(texts[a:b])
