@@ -81,17 +81,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col), text.alias("t"))
-    canon = canonical(F.col("t"))
-    hashed = base.select(id_col, "t", wide_hash(canon).alias("hash"), F.sha2(canon, 256).alias("canon_sha"))
+    # A canonical form is a column of its own before anything reads it: the planner can't share a call of reflect.
+    hashed = base.withColumn("canon", canonical(F.col("t"))).select(id_col, "t", wide_hash(F.col("canon")).alias("hash"), F.sha2("canon", 256).alias("canon_sha"))
     rows = with_next(hashed, id_col, ["t", "hash", "canon_sha"], "t")
     n = F.char_length("t")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), n - half), F.substring(F.col("next_t"), F.lit(1), half)))
-    edited = canonical(F.col("edited"))
+    rows = rows.withColumn("edited_canon", canonical(F.col("edited")))
     rows = rows.select(
-        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "hash", "canon_sha", wide_hash(edited).alias("edited_hash"),
+        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "hash", "canon_sha", wide_hash(F.col("edited_canon")).alias("edited_hash"),
         ((F.col("hash") == F.col("next_hash")) & (F.col("canon_sha") == F.col("next_canon_sha"))).alias("same_next"),
-        F.when(F.col("hash") == wide_hash(edited), canonical(F.col("t")) == edited).otherwise(False).alias("same_edited"),
+        (F.col("canon_sha") == F.sha2("edited_canon", 256)).alias("same_edited"),
     )
     found = cut(groups(docs, id_col, text_col), "fingerprints")
     rows = rows.join(found.select("hash", "canon_sha", "suffix", "group_id", "group_size"), ["hash", "canon_sha"])

@@ -50,7 +50,7 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """labelled: tokens array, verdict -> ante array, verdict, confidence, support, key (its rarest token).
 
-    A token that occurs on less than min_support of the labelled rows can't be in a rule; it is left out beforehand.
+    All frequent sets are mined, so labelled urls that share very many tokens make very many rules.
     """
     n = labelled.count()
     if not n:
@@ -88,9 +88,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_
     urls = urls.withColumns({"rule": rule, "stated": verdict})
 
     # Distinct token sets meet the index, each once, however many pages have them.
-    sets = urls.filter(F.col("stated").isNull()).select("tokens").distinct()
+    sets = urls.filter(F.col("stated").isNull() & (F.size("tokens") > 0)).select("tokens").distinct()
     hits = sets.withColumn("key", F.explode("tokens")).join(mined, "key").filter(F.size(F.array_except("ante", "tokens")) == 0)
     best = hits.groupBy("tokens").agg(F.max_by(F.struct("said", "confidence"), F.struct("confidence", "support", "ante", "said")).alias("b"))
     best = best.select("tokens", "b.said", "b.confidence")
-    out = urls.join(best, "tokens", "left")
+    # Only urls that the index can decide meet it; the others, null urls among them, would all stand under one key.
+    asks = F.col("stated").isNull() & (F.size("tokens") > 0)
+    out = urls.filter(asks).join(best, "tokens", "left")
+    out = out.unionByName(urls.filter(~asks).withColumns({"said": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")}))
     return out.select(id_col, "host", "path", "rule", F.coalesce("stated", "said", F.lit(default)).alias("verdict"), F.when(F.col("stated").isNull(), F.col("confidence")).alias("confidence"))
