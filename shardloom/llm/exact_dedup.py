@@ -132,14 +132,12 @@ def _owned(texts: DataFrame, keys: DataFrame, directory: Directory, capacity: in
     A key with more bytes than a bucket has as many owners as it fills buckets; their rows are still to be added up.
     """
     hot = cut(keys.filter(F.col("load") > capacity).select("h", F.ceil(F.col("load") / capacity).alias("owners")), "hot")
-    rows = directory.assign(texts)
+    rows, owner = directory.assign(texts), ["depth", "prefix"]
     if not hot.isEmpty():
-        rows = rows.join(sized(hot), "h", "left")
-    else:
-        rows = rows.withColumn("owners", F.lit(None).cast("long"))
-    rows = rows.withColumn("owner", F.when(F.col("owners").isNotNull(), F.pmod(F.xxhash64("id", F.lit(3)), F.col("owners"))).otherwise(F.lit(0).cast("long")))
-    rows = rows.select("depth", "prefix", "owner", "h", "norm", "id").repartition("depth", "prefix", "owner")
-    found = rows.groupBy("depth", "prefix", "owner", "h", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        share = F.pmod(F.xxhash64("id", F.lit(3)), F.col("owners"))
+        rows, owner = rows.join(sized(hot), "h", "left").withColumn("share", F.coalesce(share, F.lit(0))), [*owner, "share"]
+    rows = rows.select(*owner, "h", "norm", "id").repartition(*owner)
+    found = rows.groupBy(*owner, "h", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     return found.select("depth", "prefix", "h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
 
 

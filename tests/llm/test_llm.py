@@ -368,6 +368,17 @@ def test_token_counts_are_the_librarys(spark):
             assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 512, len([*texts, ""][r["doc_id"]].encode()))
 
 
+def test_files_with_other_settings_are_refused(tmp_path):
+    import json
+
+    for name, kind in (("word_bpe_49k.json", bpe.WordBpe), ("byte_bpe_50k.json", token_counts.ByteBpe)):
+        data = json.load(open(queries.vocabulary(name), encoding="utf-8"))
+        for change in ({"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": None}, {"post_processor": {"type": "ByteLevel"}}, {"model": data["model"] | {"byte_fallback": True}}):
+            (tmp_path / "x.json").write_text(json.dumps(data | change))
+            with pytest.raises(ValueError):
+                kind(str(tmp_path / "x.json"))
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     parts = {"en": ["the", "ing", "and", "tion", "of"], "de": ["der", "ung", "sch", "ich", "ü"], "fr": ["eau", "que", "é", "oi", "les"]}
@@ -434,6 +445,35 @@ def test_pii_beside_other_numbers(spark):
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, b"key", back=True).collect()} == dict(rows)
 
 
+def test_pii_links_equal_values():
+    names, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", True)
+    rng = random.Random(4)
+    for _ in range(300):
+        y, m, d = rng.randrange(1950, 2050), rng.randrange(1, 13), rng.randrange(1, 29)
+        forms = [f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{d}.{m}.{y}", f"{m:02d}/{d:02d}/{y}", f"{m}/{d}/{y}", f"{d}/{m}/{y}" if d > 12 else f"{m}/{d}/{y}", f"{d:02d}.{m}.{y}"]
+        new = [names.date(f) for f in forms]
+        assert [back.date(n) for n in new] == forms
+        parsed = set()
+        for f, n in zip(forms[:6], new[:6]):
+            x = [int(v) for v in re.findall(r"[0-9]+", n)]
+            parsed.add(tuple(x if "-" in f else [x[2], x[1], x[0]] if "." in f or int(f.split("/")[0]) > 12 else [x[2], x[0], x[1]]))
+        assert len(parsed) == 1
+    digits = lambda v: re.sub(r"\D", "", v)
+    assert digits(names.phone("+49 30 1234567")) == digits(names.phone("+49301234567")) == digits(names.phone("+49 (30) 123-4567"))
+    assert names.iban("DE89 3704 0044 0532 0130 00").replace(" ", "") == names.iban("DE89370400440532013000") and names.iban("de89370400440532013000").isascii()
+
+
+def test_pii_of_other_scripts_and_times(spark):
+    rows = [(1, "мария@example.com, Ünal.Öz@example.org"), (2, "at 2024-01-05T10:20:30Z"), (3, "call 0151-23456789 or 030 1234567"), (4, "to de89370400440532013000."), (5, "x" * 300 + "@example.com"), (6, "+" * 1_000_000), (7, "(" * 300_000 + "1"), (8, "@" * 200_000), (9, "a." * 200_000 + "@")]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"key").cache()
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert "мария" not in got[1]["text"] and "Ünal" not in got[1]["text"] and got[1]["n_email"] == 2
+    assert got[2]["n_date"] == 1 and "2024-01-05" not in got[2]["text"] and got[2]["text"].endswith("T10:20:30Z")
+    assert got[3]["n_phone"] == 2 and "23456789" not in got[3]["text"] and got[4]["n_iban"] == 1 and got[5]["n_email"] == 1 and "x" * 100 not in got[5]["text"]
+    assert all(got[i]["text"] == rows[i - 1][1] for i in (6, 7, 8, 9))
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, b"key", back=True).collect()} == dict(rows)
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     for n in (1, 2, 7, 100, 365):
