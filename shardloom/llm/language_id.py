@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import blocks
+from .common import blocks, ready
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -217,7 +216,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             lang, score = _judged(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
@@ -237,7 +236,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Only the texts go through Python, a few at a time; the rest of the rows stays where it is.
     """
     model = trained_on(docs, id_col, text_col, lang_col)
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def told(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:

@@ -17,8 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import WORD, cut, fresh, sized
+from .common import WORD, cut, fresh, ready, sized
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -118,7 +117,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goals = cut(targets(cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("n_docs")), weights, share, most), "goals")
     lams = duals(cells, goals, most)
     per_source = cells.join(lams, "key").join(goals.select("key", "target"), "key")
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     given = cut(per_source.groupBy("key").applyInPandas(lambda rows: round_cells(rows, most), "key string, size long, n long, copies long"), "copies")
 
     # Of a cell's n documents, copies % n get one more: the first in hash order, ranked in parts that are counted first.
