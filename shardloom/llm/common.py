@@ -10,12 +10,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch at most. Spark's own 10,000 are too many where each is a whole text: a task holds a batch
+#: several times over, in the JVM and in its Python worker.
+ARROW_ROWS = 1000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Make the session fit for Python code over texts: the package on every worker, short Arrow batches."""
+    ship(spark)
+    if not 0 < int(spark.conf.get(_ROWS_CONF)) <= ARROW_ROWS:
+        spark.conf.set(_ROWS_CONF, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

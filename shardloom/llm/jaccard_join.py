@@ -29,8 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import cut, keep_ids, whole_number
+from .common import cut, keep_ids, ready, whole_number
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -230,7 +229,7 @@ def _verify(width: int, num: int, den: int):
 def _join(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, n, ...), members (id, rep) and, of the class representatives, every link (a, b) or else the components."""
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     base = docs.select(whole_number(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.rdd.getNumPartitions())
     found = cut(base.mapInArrow(_sketches(width, num, den, parts), ROWS), "sketches")

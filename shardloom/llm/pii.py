@@ -19,7 +19,7 @@ from math import isqrt
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..shipping import ship
+from .common import ready
 
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -302,6 +302,6 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             total = pa.array([sum(x) for x in zip(*counts.values(), strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), total, *each], [id_col, "text", "n_found", *[f"n_{k}" for k in KINDS]])
 
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, text string, n_found long, " + ", ".join(f"n_{k} long" for k in KINDS))

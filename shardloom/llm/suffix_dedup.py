@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .anchors import Runs, runs
-from .common import blocks, cut, whole_number
+from .common import blocks, cut, ready, whole_number
 from .shingles import U, mix
 
 LENGTH = 50
@@ -243,7 +242,7 @@ def _sort(length: int):
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc, th (hash of the text), starts, ends: ranges of window starts that are removed, for documents that have any."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.filter(F.col(id_col).isNotNull()).select(whole_number(docs, id_col).alias("doc"), text.alias("text"))
     rows = base.mapInArrow(_scan(length), "a long, s long, doc long, full array<long>")
