@@ -18,17 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
 
 
-#: Rows of an Arrow batch at most. Spark's own 10,000 are too many where each is a whole text: a task holds a batch
-#: several times over, in the JVM and in its Python worker.
-ARROW_ROWS = 1000
-_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch at most. Rows are whole texts, and a task holds a batch several times over, in the JVM and in
+#: its Python worker; Spark's own bound of 64 MB is too much for that.
+ARROW_BYTES = 4 << 20
+_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ready(spark: SparkSession) -> None:
     """Make the session fit for Python code over texts: the package on every worker, short Arrow batches."""
     ship(spark)
-    if not 0 < int(spark.conf.get(_ROWS_CONF)) <= ARROW_ROWS:
-        spark.conf.set(_ROWS_CONF, str(ARROW_ROWS))
+    now = spark.conf.get(_BYTES_CONF).removesuffix("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(_BYTES_CONF, str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
