@@ -11,7 +11,6 @@ key, beside its directory; it can be opened again, looked up, and extended by fu
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,7 +24,6 @@ CAPACITY = 4 << 20
 BUCKETS = 1 << 19
 #: Bits that the directory goes by at most. With evenly spread keys it ends far before.
 MOST_BITS = 21
-SLOTS = "slot long, depth int"
 
 
 def _prefix(h: Column, depth: int) -> Column:
@@ -52,7 +50,7 @@ class Directory:
         spark = keys.sparkSession
         capacity = max(capacity, (keys.agg(F.sum("load")).first()[0] or 0) // BUCKETS)
         cells = cut(keys.groupBy(_prefix(F.col("h"), MOST_BITS).alias("cell")).agg(F.sum("load").alias("load"), F.count("*").alias("n")), "cells")
-        bits, slots = (start.bits, start.slots) if start else (0, spark.createDataFrame([(0, 0)], SLOTS))
+        bits, slots = (start.bits, start.slots) if start else (0, spark.range(1).select(F.col("id").alias("slot"), F.lit(0).alias("depth")))
         while True:
             # A slot's cells; loads go to the slot's bucket, which is the slot without the bits that it doesn't go by.
             in_slot = cells.groupBy(F.shiftright("cell", MOST_BITS - bits).alias("slot")).agg(F.sum("load").alias("load"), F.sum("n").alias("n"))
@@ -97,7 +95,7 @@ class Index:
         path = path or f"{shared_dir(spark)}/shardloom/index-{uuid.uuid4().hex}"
         entries.repartition("depth", "prefix").sortWithinPartitions("depth", "prefix", "h", "link").write.parquet(f"{path}/entries")
         directory.slots.coalesce(1).write.parquet(f"{path}/slots")
-        spark.createDataFrame([(json.dumps({"capacity": capacity, "bits": directory.bits}),)], "value string").coalesce(1).write.text(f"{path}/head")
+        spark.range(1).coalesce(1).select(F.lit(capacity).cast("long").alias("capacity"), F.lit(directory.bits).alias("bits")).write.json(f"{path}/head")
         return cls(spark, path)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
