@@ -12,26 +12,34 @@ BUCKET = 1 << 16
 
 
 def persistent_boundaries(keys: DataFrame, bits: int = PERSISTENT_BITS) -> DataFrame:
-    """Key rows (sparse) whose time bucket differs from the previous key row's."""
-    w = Window.orderBy("seq_no")
-    rows = keys.withColumn("prev_utime", F.lag("gen_utime").over(w))
+    """Key rows whose time bucket differs from the previous key row's."""
+    rows = last_before(keys, "seq_no", F.col("gen_utime"), "prev_utime", False)
     return rows.filter(F.shiftright("gen_utime", bits) != F.shiftright("prev_utime", bits))
 
 
-def last_before(df: DataFrame, order: str, value: Column, name: str, inclusive: bool, bucket: int = BUCKET) -> DataFrame:
+def last_before(df: DataFrame, order: str, value: Column, name: str, inclusive: bool, bucket: int = BUCKET, tie: str | None = None) -> DataFrame:
     """Last non-null value at or before each row of a long order column, without one task for the whole chain.
 
-    Rows meet inside buckets of the order; what a bucket starts with comes from a window over one row a bucket.
+    Rows of one place are in order of tie, if it is given. Rows meet inside buckets of the order; what a bucket starts with comes from a window over one row a bucket.
     """
     b = F.floor(F.col(order) / bucket)
     rows = df.withColumns({"_b": b, "_v": value})
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    w = Window.partitionBy("_b").orderBy(order, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
     ends = rows.groupBy("_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_end"))
     carried = ends.select("_b", F.last("_end", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_from"))
     return rows.join(carried, "_b").withColumn(name, F.coalesce("_in", "_from")).drop("_b", "_v", "_in", "_from")
 
 
+def ranked(df: DataFrame, order: str, name: str, bucket: int = BUCKET) -> DataFrame:
+    """Rows with their place (0 first) in the order of a long column without ties, counted by bucket."""
+    rows = df.withColumn("_b", F.floor(F.col(order) / bucket))
+    before = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = before.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    return rows.withColumn("_place", place).join(before, "_b").withColumn(name, F.col("_before") + F.col("_place")).drop("_b", "_place", "_before")
+
+
 def gaps(df: DataFrame, part: list[str], order: str, bucket: int = BUCKET) -> DataFrame:
     """Holes in the sequence as (hole_from, hole_to), inclusive."""
     if part:
@@ -74,10 +82,30 @@ def archive_ids_gapped(df: DataFrame, order: str, is_key: str, step: int = ARCHI
 
 
 def ewma(df: DataFrame, key: str, order: str, value: Column) -> DataFrame:
-    """Integer mean of old and new, from the first value on; each key's values are folded in order."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.cast("long").alias("v"))))
-    step = lambda acc, x: F.when(acc > 0, F.floor((acc + x["v"]) / 2)).otherwise(x["v"])
-    return df.groupBy(key).agg(F.aggregate(items, F.lit(0).cast("long"), step).alias("roundtrip"))
+    """Integer mean of old and new, from the first value on; each key's values are folded in order.
+
+    The fold streams over each key's rows as they are sorted, so no key's values are held at once.
+    """
+    import pandas as pd
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), value.cast("long").alias("v")).repartition("k").sortWithinPartitions("k", "o")
+
+    def fold(parts):
+        now, acc = None, 0
+        for part in parts:
+            out = []
+            for k, v in zip(part["k"].tolist(), part["v"].tolist(), strict=True):
+                if k != now:
+                    if now is not None:
+                        out.append((now, acc))
+                    now, acc = k, 0
+                acc = (acc + v) // 2 if acc > 0 else v
+            yield pd.DataFrame(out, columns=["k", "r"])
+        if now is not None:
+            yield pd.DataFrame([(now, acc)], columns=["k", "r"])
+
+    return rows.mapInPandas(fold, f"k {kind}, r long").select(F.col("k").alias(key), F.col("r").alias("roundtrip"))
 
 
 def unreliability(df: DataFrame, key: str, order: str, failed: Column) -> DataFrame:

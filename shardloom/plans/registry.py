@@ -16,7 +16,6 @@ from .lenses import blocks, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-CUT = 5000
 
 
 def query(sql: str | None = None):
@@ -51,7 +50,10 @@ def archive_bucket(s, d):
     return ordered.archive_ids(blocks(s, d).select("seq_no"), "seq_no", F.col("seq_no") % 997 == 0)
 
 
-@query()
+@query(f"""with recursive b as (select seq_no, seq_no % 997 = 0 as is_key, seq_no - seq_no % 20000 as base, row_number() over (partition by seq_no // 20000 order by seq_no) as i from {B} where seq_no % 7 <> 3),
+    r(seq_no, base, i, arch) as (select seq_no, base, i, case when is_key then seq_no else base end from b where i = 1
+        union all select b.seq_no, b.base, b.i, case when b.is_key then b.seq_no when b.seq_no >= greatest(r.arch, b.base) + 100 then b.seq_no else greatest(r.arch, b.base) end from r join b on b.base = r.base and b.i = r.i + 1)
+    select r.seq_no, b.is_key, r.arch as archive_id from r join b on b.seq_no = r.seq_no""")
 def archive_bucket_gapped(s, d):
     b = blocks(s, d).filter("seq_no % 7 <> 3").select("seq_no", (F.col("seq_no") % 997 == 0).alias("is_key"))
     return ordered.archive_ids_gapped(b, "seq_no", "is_key")
@@ -72,31 +74,38 @@ def contiguity_summary(s, d):
     return ordered.contiguity(blocks(s, d), "seq_no")
 
 
-@query(f"select shard, max(seq_no) as top from {B} where seq_no <= {CUT} group by shard")
+def _tops(s, d):
+    """Tops of an edge at half of the chain."""
+    b = blocks(s, d)
+    half = b.agg(F.max("seq_no").alias("_last"))
+    return relations.top_blocks(b.join(F.broadcast(half)), "shard", "seq_no", F.col("seq_no") * 2 <= F.col("_last"))
+
+
+@query(f"select shard, max(seq_no) as top from {B} where seq_no * 2 <= (select max(event_id) from events) group by shard")
 def top_blocks(s, d):
-    return relations.top_blocks(blocks(s, d), "shard", "seq_no", F.col("seq_no") <= CUT)
+    return _tops(s, d)
 
 
-_TOPS = f"(select shard, max(seq_no) as top from {B} where seq_no <= {CUT} group by shard)"
+_TOPS = f"(select shard, max(seq_no) as top from {B} where seq_no * 2 <= (select max(event_id) from events) group by shard)"
 
 
 @query(f"select b.seq_no, b.shard from {B} b left join {_TOPS} t on b.shard = t.shard where not coalesce(b.seq_no >= t.top, false) and b.seq_no <> 0 and not b.is_key")
 def retention_delete_set(s, d):
     b = blocks(s, d)
-    return relations.retention_delete(b, relations.top_blocks(b, "shard", "seq_no", F.col("seq_no") <= CUT), "shard", "seq_no", F.col("is_key")).select("seq_no", "shard")
+    return relations.retention_delete(b, _tops(s, d), "shard", "seq_no", F.col("is_key")).select("seq_no", "shard")
 
 
 @query(f"select b.shard, count(*) as n, count(*) filter (where b.is_key) as keys from {B} b join {_TOPS} t on b.shard = t.shard where b.seq_no < t.top group by b.shard")
 def retention_counts(s, d):
     b = blocks(s, d)
-    tops = relations.tops_hint(relations.top_blocks(b, "shard", "seq_no", F.col("seq_no") <= CUT))
+    tops = relations.tops_hint(_tops(s, d))
     return b.join(tops, "shard").filter("seq_no < top").groupBy("shard").agg(F.count("*").alias("n"), F.count_if("is_key").alias("keys"))
 
 
 @query(f"select b.seq_no, t.top < b.seq_no as is_after from {B} b join {_TOPS} t on b.shard = t.shard")
 def edge_is_before(s, d):
     b = blocks(s, d)
-    tops = relations.tops_hint(relations.top_blocks(b, "shard", "seq_no", F.col("seq_no") <= CUT))
+    tops = relations.tops_hint(_tops(s, d))
     return b.join(tops, "shard").select("seq_no", (F.col("top") < F.col("seq_no")).alias("is_after"))
 
 
@@ -111,20 +120,11 @@ def prefix_join(s, d):
     return relations.prefix_join(a, b, "pa", "pb", 5).select("ka", "kb")
 
 
-@query("""select n_nationkey as k, case when n_nationkey % 4 in (select x from (values (0), (1)) v(x)) then 1 when (n_nationkey % 4) // 2 in (select x from (values (1)) v(x)) then 2 else 3 end as rule from nation""")
-def target_rule_join(s, d):
-    n = table(s, d, "nation").select(F.col("n_nationkey").alias("k"))
-    first = s.createDataFrame([(0,), (1,)], "same int")
-    second = s.createDataFrame([(1,)], "up int")
-    j = n.join(F.broadcast(first), F.col("k") % 4 == F.col("same"), "left").join(F.broadcast(second), F.floor(F.col("k") % 4 / 2) == F.col("up"), "left")
-    return j.select("k", F.when(F.col("same").isNotNull(), 1).when(F.col("up").isNotNull(), 2).otherwise(3).alias("rule"))
-
-
-@query(f"select seq_no from {B} b where seq_no % 3 = 0 and exists (select 1 from {B} x where x.is_key and x.seq_no in (b.seq_no - 1, b.seq_no - 2, b.seq_no - 4))")
+@query(f"select seq_no from {B} b where exists (select 1 from {B} x where x.is_key and x.seq_no in (b.seq_no - 1, b.seq_no - 2, b.seq_no - 4))")
 def prev_in_family(s, d):
     b = blocks(s, d)
     keys = b.filter("is_key").select(F.explode(F.array(*[F.col("seq_no") + k for k in (1, 2, 4)])).alias("seq_no"))
-    return b.filter("seq_no % 3 = 0").select("seq_no").join(keys, "seq_no", "left_semi")
+    return b.select("seq_no").join(keys, "seq_no", "left_semi")
 
 
 _D = f"(select shard as k, seq_no, case when event_type in ('signup', 'view') then 1 when failed then -1 else 0 end as delta from {B})"
@@ -253,13 +253,13 @@ def predecessor_edges(s, d):
     return blocks(s, d).select("shard", "seq_no", F.lag("seq_no").over(w).alias("prev1"), F.lead("seq_no").over(w).alias("next1"))
 
 
-_E = "(select distinct l_suppkey as src, 100000 + l_partkey as dst from lineitem where l_orderkey % 50 = 0 union select distinct 100000 + l_partkey, l_suppkey from lineitem where l_orderkey % 50 = 1)"
+_E = "(select distinct l_suppkey as src, 100000 + l_partkey as dst from lineitem where l_orderkey % 2 = 0 union select distinct 100000 + l_partkey, l_suppkey from lineitem where l_orderkey % 2 = 1)"
 
 
 def _edges(s, d):
     li = table(s, d, "lineitem")
-    down = li.filter("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 100000).alias("dst"))
-    return down.union(li.filter("l_orderkey % 50 = 1").select(F.col("l_partkey") + 100000, "l_suppkey")).distinct()
+    down = li.filter("l_orderkey % 2 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 100000).alias("dst"))
+    return down.union(li.filter("l_orderkey % 2 = 1").select(F.col("l_partkey") + 100000, "l_suppkey")).distinct()
 
 
 @query(f"with recursive r(node, level) as (select 1::bigint, 0 union select e.dst, r.level + 1 from r join {_E} e on e.src = r.node where r.level < 3) select node, min(level) as level from r group by node")
@@ -267,7 +267,7 @@ def closure_levels(s, d):
     return graph.closure(_edges(s, d), s.createDataFrame([(1,)], "node long"), 3)
 
 
-_TREE = "(select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem where l_orderkey % 97 = 5)"
+_TREE = "(select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem)"
 
 
 def _refs(lineitem: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def _refs(lineitem: DataFrame) -> DataFrame:
 
 
 def _tree(s, d):
-    return _refs(table(s, d, "lineitem").filter("l_orderkey % 97 = 5"))
+    return _refs(table(s, d, "lineitem"))
 
 
 @query(f"with r as (select src as node, 1 as c from (select distinct src from {_TREE}) union all select dst, 1 from {_TREE}) select node, count(*) as refs, not (node[1] = 'p' and substr(node, 2)::bigint % 5 = 0) as is_new from r group by node")
@@ -306,7 +306,9 @@ def merkle_fold(s, d):
     return graph.merkle_fold(c, "conv_id", "turn", "text")
 
 
-@query()
+@query("""with e as (select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem)
+    select dst as node, sha256(dst) as digest, 1::bigint as cells, 0 as height from e group by dst
+    union all select src, sha256(src || string_agg(sha256(dst), '' order by dst)), 1 + count(*), 1 from e group by src""")
 def merkle_levels(s, d):
     t = _refs(table(s, d, "lineitem"))
     nodes = t.select(F.col("src").alias("node")).union(t.select("dst")).distinct().withColumn("data", F.col("node"))
