@@ -97,6 +97,19 @@ ORACLE_SQL: dict[str, str] = {
         m as (select node, min(root) as root from r group by node)
         select s.doc_id, len(s.sh)::bigint as n_shingles, coalesce(m.root, s.doc_id) as component_id
         from s left join c on s.sh = c.sh left join m on m.node = c.rep""",
+    "op4_suffix_array_dedup": """
+        with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+        w as (select doc_id, i, b[i : i + 49] as s from d, unnest(range(1, octet_length(b) - 48)) t(i)),
+        f as (select s, min(doc_id) as least from w group by s),
+        h as (select w.doc_id, w.i from w join f on w.s = f.s where f.least < w.doc_id),
+        e as (select *, (i > coalesce(lag(i) over (partition by doc_id order by i), -100) + 50)::int as new from h),
+        g as (select *, sum(new) over (partition by doc_id order by i) as g from e),
+        r as (select doc_id, g, min(i) as a, max(i) + 49 as z from g group by doc_id, g),
+        k as (select *, coalesce(lag(z) over (partition by doc_id order by g), 0) + 1 as from_ from r),
+        p as (select k.doc_id, sum(z - a + 1)::bigint as gone, count(*) as spans, max(z) as last, string_agg(hex(d.b[from_ : a - 1]), '' order by g) as kept from k join d on d.doc_id = k.doc_id group by k.doc_id)
+        select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(gone, 0) as n_removed, coalesce(spans, 0) as n_spans,
+            sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1 :]))) as kept_sha256
+        from d left join p on p.doc_id = d.doc_id""",
     "op5_exact_dedup": f"""
         with d as (select doc_id, {_LOWER} as t from documents),
         k as (select doc_id, t, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from d)
