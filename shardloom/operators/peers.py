@@ -39,14 +39,18 @@ def folded(df: DataFrame, key: str, order: str, cols: list[str], start: Callable
     return rows.mapInPandas(run, f"_k {kind}, {result}").withColumnRenamed("_k", key)
 
 
-def checks(events: DataFrame, key: str = "peer", order: str = "ord", alive: str = "alive") -> DataFrame:
-    """Probes in order -> attempts, failures, penalty, active. A probe that fails costs PENALTY, one that succeeds clears it."""
+def checks(events: DataFrame, key: str = "peer", order: str = "ord") -> DataFrame:
+    """events with success, counted, probe -> attempts, failures, penalty of each peer.
 
-    def step(s: tuple, ok: bool) -> tuple:
-        attempts, failures, _, _ = s
-        return (attempts + 1, failures, 0, True) if ok else (attempts + 1, failures + 1, PENALTY, False)
-
-    return folded(events, key, order, [alive], lambda: (0, 0, 0, True), step, "attempts long, failures long, penalty long, active boolean", lambda s: s)
+    Counted queries make attempts and failures. A probe makes a peer active; the next counted query takes that back, and
+    costs PENALTY if it fails.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    rows = events.withColumn("_g", F.coalesce(F.sum(F.col("counted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    active = F.max("probe").over(Window.partitionBy(key, "_g").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_active", active)
+    missed = F.col("counted") & ~F.col("success")
+    return rows.groupBy(key).agg(F.count_if("counted").alias("attempts"), F.count_if(missed).alias("failures"), (F.count_if(missed & F.col("_active")) * PENALTY).alias("penalty"))
 
 
 def backoff(events: DataFrame, key: str = "peer", order: str = "ord", failed: str = "failed", initial: int = 500, most: int = 5000, factor: float = 1.5) -> DataFrame:

@@ -74,15 +74,20 @@ def min_refs(counts: DataFrame, ops: DataFrame) -> DataFrame:
     return sums.withColumn("n", checked).filter("n > 0")
 
 
-def min_after_each(ops: DataFrame) -> DataFrame:
-    """ops: step, mc_seq_no, delta, a short log in one order -> step, least: the least referenced block after each step."""
-    w = Window.partitionBy("mc_seq_no").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = ops.withColumn("_n", F.sum("delta").over(w)).withColumn("_until", F.lead("step").over(Window.partitionBy("mc_seq_no").orderBy("step")))
-    live = at.filter("_n > 0").select("mc_seq_no", F.col("step").alias("_from"), "_until")
-    steps = ops.select("step").distinct()
-    spans = live.withColumn("_until", F.coalesce("_until", F.lit((1 << 63) - 1)))
-    hit = steps.join(spans, (F.col("step") >= F.col("_from")) & (F.col("step") < F.col("_until")), "left")
-    return hit.groupBy("step").agg(F.min("mc_seq_no").alias("least"))
+def min_after_each(ops: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """ops: key, step, mc_seq_no, delta, a log for each key -> key, step, least: the least referenced block after each step.
+
+    A block is referenced over spans of steps; a step meets the spans of its own log that hold it.
+    """
+    on = key or []
+    w = Window.partitionBy(*on, "mc_seq_no").orderBy("step")
+    at = ops.withColumn("_n", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_until", F.lead("step").over(w))
+    spans = at.filter("_n > 0").select(*[F.col(c).alias(f"_{c}") for c in on], "mc_seq_no", F.col("step").alias("_from"), F.coalesce("_until", F.lit((1 << 63) - 1)).alias("_until"))
+    steps = ops.select(*on, "step").distinct()
+    same = (F.col("step") >= F.col("_from")) & (F.col("step") < F.col("_until"))
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return steps.join(spans, same, "left").groupBy(*on, "step").agg(F.min("mc_seq_no").alias("least"))
 
 
 def archives_in_order(archives: DataFrame, next_seq: int) -> DataFrame:

@@ -69,6 +69,49 @@ def test_archive_frames():
     assert len(list(archive.entries(blob[:-7], strict=False))) == 1
 
 
+def test_pieces_of_an_archive():
+    blob = archive.package([("a", b"xy"), ("bcd", b""), ("e", b"z" * 40), ("last", b"")])
+    for size in range(1, len(blob) + 1):
+        v = archive.Verifier()
+        for at in range(0, len(blob), size):
+            v.feed(blob[at : at + size])
+        assert v.finish() == 4
+    whole = {4, *(len(archive.package([("a", b"xy"), ("bcd", b""), ("e", b"z" * 40)][:n])) for n in (1, 2, 3))}
+    for end in set(range(len(blob))) - whole:
+        v = archive.Verifier()
+        v.feed(blob[:end])
+        with pytest.raises(archive.ArchiveError):
+            v.finish()
+    for bad in (b"nope" + blob[4:], blob[:4] + b"\x00" + blob[5:]):
+        with pytest.raises(archive.ArchiveError):
+            archive.Verifier().feed(bad)
+    assert archive.is_whole(blob) and not archive.is_whole(blob[:-1])
+
+
+def test_block_maps(spark):
+    h = "AB" * 32
+    names = [(f"block_(-1,8000000000000000,7):{h}:{h}", b"b"), (f"proof_(-1,8000000000000000,7):{h}:{h}", b"p"), (f"prooflink_(-1,8000000000000000,7):{h}:{h}", b"no"), (f"proof_(0,4000000000000000,7):{h}:{h}", b"no"), (f"prooflink_(0,4000000000000000,8):{h}:{h}", b"l"), ("junk", b"no")]
+    got = archive.block_maps(spark.createDataFrame([(1, n, d) for n, d in names], "g int, name string, data binary"), "g").collect()
+    assert sorted((r["workchain"], r["seq"], bytes(r["block"] or b""), bytes(r["proof"]), r["is_link"]) for r in got) == [(-1, 7, b"b", b"p", False), (0, 8, b"", b"l", True)]
+
+
+def test_read_archives(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i:09d}").write_bytes(archive.package([(f"n{i}", b"d" * i)]))
+    assert sorted((r["path"][-1], r["name"], bytes(r["data"])) for r in archive.read_archives(spark, str(tmp_path)).collect()) == [(str(i), f"n{i}", b"d" * i) for i in range(3)]
+
+
+def test_merge_keeps_one_head(spark):
+    whole = archive.package([("a", b"1"), ("b", b"2")])
+    df = spark.createDataFrame([(0, 0, archive.package([("a", b"1")])), (0, 1, archive.package([("b", b"2")])), (1, 0, whole[4:])], "archive_id int, segment_no int, data binary")
+    assert [bytes(r["data"]) for r in archive.merge_segments(df).collect()] == [whole, whole]
+
+
+def test_weighted_pick_is_the_smallest_draw(spark):
+    picks = {registry.QUERIES["weighted_pick"](spark, SF).first()[0] for _ in range(2)}
+    assert len(picks) == 1 and picks.pop() in {r[0] for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()}
+
+
 def test_file_names(spark):
     df = spark.createDataFrame([(-1, -(1 << 63), 7)], "wc int, shard long, seq long")
     h = F.lit("ab" * 32)

@@ -62,9 +62,9 @@ def test_archive_sink(spark):
 
 
 def test_peer_folds(spark):
-    df = spark.createDataFrame([("a", 1, False), ("a", 3, True), ("a", 2, False), ("b", 1, True), ("c", 1, False)], "peer string, ord int, ok boolean")
-    got = {r["peer"]: tuple(r)[1:] for r in peers.checks(df, alive="ok").collect()}
-    assert got == {"a": (3, 2, 0, True), "b": (1, 0, 0, True), "c": (1, 1, 100, False)}
+    rows = [("a", 1, False, True, True), ("a", 2, False, True, False), ("a", 3, True, False, True), ("a", 4, False, False, False), ("a", 5, False, True, False), ("b", 1, True, True, True), ("b", 2, False, True, False)]
+    df = spark.createDataFrame(rows, "peer string, ord int, success boolean, counted boolean, probe boolean")
+    assert {r["peer"]: tuple(r)[1:] for r in peers.checks(df).collect()} == {"a": (3, 3, 200), "b": (2, 1, 0)}
     times = spark.createDataFrame([("a", i, True) for i in range(3)] + [("b", i, True) for i in range(20)] + [("c", 0, True), ("c", 1, False)], "peer string, ord int, failed boolean")
     assert {r["peer"]: r["timeout"] for r in peers.backoff(times).collect()} == {"a": 1687, "b": 5000, "c": 500}
     steps = spark.createDataFrame([("x", i, p) for i, p in enumerate([0, 1, 4, 5, 9, 10, 31])], "k string, o int, p int")
