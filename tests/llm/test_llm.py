@@ -5,6 +5,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shardloom.llm import anchors, bpe, exact_dedup, fingerprints, jaccard_join, language_id, mixing, pii, queries, suffix_dedup, token_counts, url_filters
 from shardloom.llm import shingles as shingles_of
@@ -640,3 +641,76 @@ def test_near_links_are_all_of_them(spark, docs, width, num):
     got = [tuple(r) for r in links.collect()]
     assert want and set(got) == want and len(got) == len(want)
     assert {tuple(r) for r in member.collect()} == {(i, rep[s]) for i, t, *_ in rows if (s := frozenset(shingles(t, width)))}
+
+
+def test_operators_pass_over_other_columns_and_null_ids(spark):
+    docs = messy(spark, 40).cache()
+    plain = docs.select("doc_id", "text", "lang", "source")
+    words, bytes_ = queries.vocabulary("word_bpe_49k.json"), queries.vocabulary("byte_bpe_50k.json")
+    model = language_id.trained_on(plain)
+    ops = [
+        exact_dedup.exact_groups, jaccard_join.near_components, mixing.mix, suffix_dedup.dedup_digests, fingerprints.fingerprints, lambda d: pii.pseudonymise(d, b"k"),
+        lambda d: language_id.identify(d, model).withColumn("score", F.round("score", 4)), lambda d: bpe.encode_digests(d, words), lambda d: token_counts.token_counts(d, bytes_),
+    ]
+    n = docs.count()
+    for op in ops:
+        rows = lambda df: sorted(map(str, (tuple(r) for r in op(df).collect())))  # noqa: E731, B023
+        got = rows(docs)
+        assert len(got) == n and got == rows(plain.repartition(2))
+
+
+def test_url_filters_pass_over_other_columns_and_nulls(spark):
+    urls = [None, "", "http://a.com/x/1", "http://a.com/x/1", "http://a.com/" + "p/" * 3000, "http://b.org/q?k=v", "://", "x://"]
+    kind = "page_id long, url string, host string, path string, tokens int, stated int, said int, _label long, verdict string, confidence int"
+    rows = [(i if i != 5 else None, u, "h", "p", 1, 2, 3, i, "v", 4) for i, u in enumerate(urls)] + [(2, "http://a.com/y", "h", "p", 1, 2, 3, 2, "v", 4)]
+    pages = spark.createDataFrame(rows, kind)
+    labels = spark.createDataFrame([(2, 1, 1, 7), (2, None, 1, 7), (None, 0, 0, 7), (3, 1, 1, 7), (4, 1, 0, 7), (4, 1, 0, 7)], "doc_id long, quality int, toxic int, bad int")
+    got = sorted(map(str, url_filters.judge(pages, labels).collect()))
+    assert len(got) == len(rows) and got == sorted(map(str, url_filters.judge(pages.select("page_id", "url").repartition(3), labels.drop("bad")).collect()))
+
+
+def brute_rules(baskets, min_support, min_confidence):
+    """Every token set that a labelled row holds, counted."""
+    from itertools import combinations
+
+    n, count, both = len(baskets), {}, {}
+    for items, verdict in baskets:
+        for size in range(1, len(items) + 1):
+            for s in combinations(sorted(items), size):
+                count[s] = count.get(s, 0) + 1
+                both[s, verdict] = both.get((s, verdict), 0) + 1
+    return {(s, v): (k / count[s], k / n) for (s, v), k in both.items() if k >= min_support * n and k / count[s] >= min_confidence}
+
+
+def test_mined_rules_are_all_of_them(spark):
+    rng = random.Random(17)
+    baskets = []
+    for _ in range(200):
+        items = {t for t in ("h:a", "h:b", "p:x", "p:y", "q:k") if rng.random() < 0.5} or {"h:a"}
+        baskets.append((sorted(items), "block" if ("p:x" in items) == (rng.random() < 0.85) else "allow"))
+    got = url_filters.mine_rules(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.02, 0.7).collect()
+    want = brute_rules(baskets, 0.02, 0.7)
+    assert {(tuple(sorted(r["ante"])), r["verdict"]) for r in got} == set(want) and len(got) == len(want)
+    assert all((r["confidence"], r["support"]) == pytest.approx(want[tuple(sorted(r["ante"])), r["verdict"]]) for r in got)
+    single = {t: sum(t in items for items, _ in baskets) for t in ("h:a", "h:b", "p:x", "p:y", "q:k")}
+    assert all(r["key"] == min(r["ante"], key=lambda t: (single[t], t)) for r in got)
+
+
+def test_duals_meet_their_targets(spark):
+    """Rates min(2, exp(lam * size / mean)) give each source its words, which makes them the optimum of the convex problem."""
+    rng = random.Random(3)
+    cells = [(f"a{k}", size, rng.randint(1, 30)) for k in range(4) for size in sorted(rng.sample(range(0, 60), 12))]
+    total = {k: sum(s * n for j, s, n in cells if j == k) for k, _, _ in cells}
+    goal = {k: total[k] * f for k, f in zip(total, (0.3, 0.95, 1.6, 2.0))}
+    rows = [(k, total[k], sum(n for j, _, n in cells if j == k), goal[k]) for k in total]
+    lams = mixing.duals(spark.createDataFrame(cells, "key string, size long, n long"), spark.createDataFrame(rows, "key string, total long, n_docs long, target double"))
+    for r in lams.collect():
+        mine = [(s, n) for j, s, n in cells if j == r["key"]]
+        words = sum(s * n * (2 if np.isinf(r["lam"]) else min(2, np.exp(r["lam"] * s / r["mean"]))) for s, n in mine)
+        assert words == pytest.approx(goal[r["key"]], rel=1e-6)
+        # An independent solver on the same equation agrees.
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(s * n * min(2, np.exp(min(mid * s / r["mean"], 50))) for s, n in mine) < goal[r["key"]] else (lo, mid)
+        assert np.isinf(r["lam"]) or r["lam"] == pytest.approx(lo, abs=1e-4)
