@@ -267,8 +267,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     by_window = Window.partitionBy("data").orderBy("doc")
     hot = pieces.filter(F.col("kind") == HOT).withColumn("least", F.first("doc").over(by_window)).filter("least < doc")
     hot = hot.select("doc", "th", "starts", F.transform("starts", lambda x: x + 1).alias("ends"))
-    found = pieces.filter(F.col("kind") == FULL).select("doc", "th", "starts", "ends").unionByName(sorted_runs).unionByName(hot)
-    return cut(found, "marks")
+    return pieces.filter(F.col("kind") == FULL).select("doc", "th", "starts", "ends").unionByName(sorted_runs).unionByName(hot)
 
 
 def _remove(length: int):
