@@ -3,6 +3,10 @@
 A page's items are its url's tokens; a labelled page has its verdict as one more item. FP-growth finds the frequent
 sets; those that hold a verdict become rules tokens -> verdict, kept by support and confidence. A rule is indexed under
 its rarest token, so that a page meets only the rules whose rarest token it has, and is then held against the whole set.
+
+Tokens that the same labelled urls hold are one item: sets that differ only in which of them they name have one support
+and one confidence, and a page that fits any of these sets has one token at least of each item. So urls that share a long
+path make as many rules as its tokens have different holders, not one for every subset of the path.
 """
 
 from __future__ import annotations
@@ -11,6 +15,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, sized
+
 #: (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MIN_SUPPORT = 0.005
@@ -50,7 +56,7 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """labelled: tokens array, verdict -> ante array, verdict, confidence, support, key (its rarest token).
 
-    All frequent sets are mined, so labelled urls that share very many tokens make very many rules.
+    All frequent sets are mined; see items_of for what keeps tokens that always come together from multiplying them.
     """
     n = labelled.count()
     if not n:
@@ -69,11 +75,28 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     return rules.join(rare, ["ante", "verdict"])
 
 
+def items_of(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """labelled: tokens array -> token, item for the tokens that enough rows hold; item is the first by name of the tokens
+    that the same rows hold, told by their number and 128 bits of hash. At most mean tokens a row / min_support rows."""
+    n = labelled.count()
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("c"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "tokens")).alias(f"m{seed}") for seed in (1, 2)]
+    held = sets.select("tokens", "c", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("c").alias("c"), *marks)
+    same = Window.partitionBy("c", "m1", "m2")
+    return held.filter(F.col("c") >= min_support * n).select("token", F.min("token").over(same).alias("item"))
+
+
+def _as_items(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """tokens (each array once) -> tokens, items; arrays without an item are left out."""
+    named = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token")
+    return named.groupBy("tokens").agg(F.collect_set("item").alias("items"))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", label_id: str = "doc_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """id, host, path, rule, verdict, confidence for every row of pages.
 
     A stated rule decides where one fits; else the mined rule of highest confidence (then support, then its tokens) that
-    the url's tokens hold; else default. A labelled page (by id) counts as block if toxic or of no quality; null labels
+    the url's tokens hold, by items (see above); else default. A labelled page (by id) counts as block if toxic or of no quality; null labels
     are left out. Null urls have neither host nor path. A repeated id is judged for each of its rows; equal urls get
     equal verdicts. Empty pages give no rows, empty labels leave the stated rules and the default.
     """
@@ -83,13 +106,18 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_
     urls = urls.withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
     known = labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(label_id).alias("_label")).agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
     labelled = urls.join(known, F.col(id_col) == F.col("_label")).select("tokens", F.when(F.col("bad") == 1, "block").otherwise("allow").alias("verdict"))
-    mined = mine_rules(labelled).withColumnRenamed("verdict", "said")
+    labelled = cut(labelled, "labelled")
+    items = sized(cut(items_of(labelled), "items"))
+    held = F.size("tokens") > 0
+    baskets = labelled.filter(held).join(_as_items(labelled.filter(held).select("tokens").distinct(), items), "tokens", "left")
+    baskets = baskets.select(F.coalesce("items", F.array().cast("array<string>")).alias("tokens"), "verdict").unionByName(labelled.filter(~held))
+    mined = mine_rules(baskets).withColumnRenamed("verdict", "said")
     rule, verdict = rule_match(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": rule, "stated": verdict})
 
     # Distinct token sets meet the index, each once, however many pages have them.
     sets = urls.filter(F.col("stated").isNull() & (F.size("tokens") > 0)).select("tokens").distinct()
-    hits = sets.withColumn("key", F.explode("tokens")).join(mined, "key").filter(F.size(F.array_except("ante", "tokens")) == 0)
+    hits = _as_items(sets, items).withColumn("key", F.explode("items")).join(mined, "key").filter(F.size(F.array_except("ante", "items")) == 0)
     best = hits.groupBy("tokens").agg(F.max_by(F.struct("said", "confidence"), F.struct("confidence", "support", "ante", "said")).alias("b"))
     best = best.select("tokens", "b.said", "b.confidence")
     # Only urls that the index can decide meet it; the others, null urls among them, would all stand under one key.

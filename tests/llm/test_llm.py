@@ -334,6 +334,42 @@ def test_url_rules_of_many_tokens(spark):
     assert {r["page_id"] for r in url_filters.judge(pages, labels).collect() if r["verdict"] == "block"} == {0, 1}
 
 
+def test_url_rules_of_tokens_that_come_together(spark):
+    # 40 path tokens make 2^40 sets; they are one item, which any one of them stands for.
+    deep = "/".join(f"d{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    urls = [(f"http://h.x/{deep}" if i % 2 else "http://h.x/news", int(i % 2)) for i in range(60)]
+    asked = [("http://h.x/dac", "block"), ("http://h.x/dbn/q", "block"), ("http://h.x/news", "allow"), ("http://k.y/dab/2", "block"), ("http://k.y/other", "allow")]
+    pages = spark.createDataFrame([*((i, u) for i, (u, _) in enumerate(urls)), *((100 + i, u) for i, (u, _) in enumerate(asked))], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, bad) for i, (_, bad) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, labels).collect()}
+    assert got == {**{i: "block" if bad else "allow" for i, (_, bad) in enumerate(urls)}, 100: "block", 101: "block", 102: "allow", 103: "block", 104: "allow"}
+
+
+def test_items_judge_as_all_rules_do(spark):
+    rng = random.Random(23)
+    names = ["a", "b", "c", "e", "f", "g"]
+
+    def url():
+        # a and b, and c and e, come together in every labelled url; not so in the others.
+        path = [x for pair in (["a", "b"], ["c", "e"], ["f"], ["g"]) if rng.random() < 0.5 for x in pair]
+        return "http://" + "/".join(["h", *path])
+
+    known = [(i, url(), rng.random()) for i in range(150)]
+    known = [(i, u, int(r < (0.9 if "/c" in u else 0.2))) for i, u, r in known]
+    asked = [(1000 + i, "http://" + "/".join(["h", *[x for x in names if rng.random() < 0.4]]), None) for i in range(60)]
+    as_tokens = lambda u: ["h:h", *(f"p:{x}" for x in u.split("/")[3:])]
+    rules = brute_rules([(as_tokens(u), "block" if bad else "allow") for _, u, bad in known], url_filters.MIN_SUPPORT, url_filters.MIN_CONFIDENCE)
+    pages = spark.createDataFrame([(i, u) for i, u, _ in known + asked], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, bad) for i, _, bad in known], "doc_id long, quality int, toxic int")
+    for r, (_, u, _) in zip(url_filters.judge(pages, labels).orderBy("page_id").collect(), known + asked, strict=True):
+        fits = [(*score, v) for (ante, v), score in rules.items() if set(ante) <= set(as_tokens(u))]
+        best = max((f[:2] for f in fits), default=None)
+        if best is None:
+            assert (r["confidence"], r["verdict"]) == (None, "allow")
+            continue
+        assert r["confidence"] == pytest.approx(best[0]) and r["verdict"] in {f[2] for f in fits if f[:2] == pytest.approx(best)}
+
+
 FUZZ = [*"ab'sStTmdreveLl 12 \n\t<|>!?.,", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "é", "é", "Σ", "İ", "漢", "\u00a0", "　", "😀", "\u0085", "\x1c", "\x00", "½", "\r\n", "   "]
 
 
