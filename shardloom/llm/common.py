@@ -22,11 +22,16 @@ BLOCK_BYTES = 1 << 20
 #: its Python worker; Spark's own bound of 64 MB is too much for that.
 ARROW_BYTES = 4 << 20
 _BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows that a Parquet reader decodes at once. Its buffers are single arrays, which grow by doubling to hold that many texts.
+READ_ROWS = 512
+_ROWS_CONF = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def ready(spark: SparkSession) -> None:
-    """Make the session fit for Python code over texts: the package on every worker, short Arrow batches."""
+    """Make the session fit for Python code over texts: the package on every worker, short batches of Parquet and Arrow."""
     ship(spark)
+    if int(spark.conf.get(_ROWS_CONF)) > READ_ROWS:
+        spark.conf.set(_ROWS_CONF, str(READ_ROWS))
     now = spark.conf.get(_BYTES_CONF).removesuffix("b")
     if not now.isdigit() or int(now) > ARROW_BYTES:
         spark.conf.set(_BYTES_CONF, str(ARROW_BYTES))
