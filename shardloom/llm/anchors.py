@@ -60,27 +60,32 @@ def runs(texts: list[bytes], length: int, k: int = K) -> Runs:
     """Runs of all windows inside the texts, in order. Of equal hashes in a window the leftmost is the anchor."""
     joined, w = b"".join(texts), length - k + 1
     none = np.empty(0, np.int64)
-    if len(joined) < length:
+    sizes = np.array([len(t) for t in texts], np.int64)
+    long = np.flatnonzero(sizes >= length)
+    if not len(long):
         return Runs(none, none.astype(U), none.astype(U), none, none, none)
     h = window_hashes(np.frombuffer(joined, np.uint8), k)
     least = _slide(h, w, np.minimum)
-    # A place is an anchor if it holds the minimum of some window; a window's anchor is the first such place with its minimum.
+    # A place is an anchor if it holds the minimum of some window. Windows with one minimum lie side by side, and the places
+    # that hold it follow each other: each takes the windows after the place before, up to the one that starts at it.
     padded = np.concatenate([np.zeros(w - 1, U), least, np.zeros(w - 1, U)])
     places = np.flatnonzero(h == _slide(padded, w, np.maximum)[: len(h)])
-    values = h[places]
-    at = np.searchsorted(places, np.arange(len(least)))
-    wrong = np.flatnonzero(values[at] != least)
-    while len(wrong):
-        at[wrong] += 1
-        wrong = wrong[values[at[wrong]] != least[wrong]]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    first = np.flatnonzero(owner[: len(least)] == owner[length - 1 :])  # windows inside one text
-    anchor, of = places[at[first]], owner[first]
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1]))[: len(first)]
-    start = first[new]
-    end = first[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)] + 1 if len(first) else none
-    place = anchor[new]
+    value = h[places]
+    other = value[1:] != value[:-1]
+    turn = np.flatnonzero(least[1:] != least[:-1]) + 1
+    of = np.append(0, np.cumsum(other))
+    start = np.append(0, turn)[of]
+    start[1:] = np.maximum(start[1:], np.where(other, 0, places[:-1] + 1))
+    some = start < np.minimum(np.append(turn, len(least))[of], places + 1)
+    begins, places = start[some], places[some]
+    # Windows inside one text: the runs are parted where a text's first window is, and after its last.
+    first = (np.cumsum(sizes) - sizes)[long]
+    last = first + sizes[long] - length + 1
+    bound = np.sort(np.concatenate([begins, first, last]), kind="stable")
+    of, after = np.searchsorted(first, bound, "right") - 1, np.append(bound[1:], 0)
+    inside = (of >= 0) & (bound < last[of]) & (bound < after)
+    start, end, text = bound[inside], after[inside], long[of[inside]]
+    place = places[np.searchsorted(begins, start, "right") - 1]
     with np.errstate(over="ignore"):
         content = mix(hashes(joined, start, end + length - 1, 2) + (place - start).astype(U))
-    return Runs(of[new], hashes(joined, place, place + k, 1), content, start, end, place)
+    return Runs(text, hashes(joined, place, place + k, 1), content, start, end, place)

@@ -30,13 +30,21 @@ def hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -
     size = ends - starts
     with np.errstate(over="ignore"):
         h = mix(size.astype(U) * _ODD + U(seed))
-        live, done = np.flatnonzero(size > 0), 0
-        while len(live):
-            rest = size[live] - done
-            piece = eight[starts[live] + done] & _MASK[np.minimum(rest, 8)]
-            h[live] = mix((h[live] ^ piece) * _ODD + U(done + 1))
-            live = live[rest > 8]
+        live, at, rest, x, done = None, starts, size, h, 0  # live: which of h the rows x are; None while they are all
+        while len(rest) and rest.max() > 0:
+            if rest.min() <= 0:
+                on = np.flatnonzero(rest > 0)
+                if live is not None:
+                    h[live] = x
+                live, at, rest, x = on if live is None else live[on], at[on], rest[on], x[on]
+            piece = eight[at + done] if rest.min() >= 8 else eight[at + done] & _MASK[np.minimum(rest, 8)]
+            x = mix((x ^ piece) * _ODD + U(done + 1))
+            if live is None:
+                h = x
+            rest = rest - 8
             done += 8
+        if live is not None:
+            h[live] = x
     return h
 
 

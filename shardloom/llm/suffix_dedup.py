@@ -31,6 +31,8 @@ SORT_BYTES = 1_000_000
 FULL, OPEN, HOT = 0, 1, 2
 #: Runs that a task holds before it settles them.
 HELD_RUNS = 1 << 20
+#: Bytes of text whose runs are found at once: arrays of eight times that many bytes stay in a processor's cache.
+RUN_BYTES = 1 << 18
 PIECES = "doc long, th long, kind int, a long, data binary, starts array<int>, ends array<int>"
 
 
@@ -41,6 +43,14 @@ def _triples(first: np.ndarray, second: np.ndarray, third: np.ndarray, bits: int
     return (np.unique((first << bits) | second, return_inverse=True)[1] << bits) | third
 
 
+def _by(values: np.ndarray) -> np.ndarray:
+    """Stable order of natural numbers below 2 ** 32, by numpy's radix sort, which takes 16 bits."""
+    order = np.argsort(values.astype(np.uint16), kind="stable")
+    if len(values) and values.max() >> 16:
+        order = order[np.argsort((values >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Sorted starts of the suffixes of s (positive integers), by the difference cover {1, 2} modulo 3."""
     n = len(s)
@@ -52,9 +62,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sample = np.concatenate([ones, twos])
     bits = max(int(t.max()), len(sample) + 1).bit_length()
     key = _triples(t[sample], t[sample + 1], t[np.minimum(sample + 2, n + 2)], bits)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal triples get one name, and the recursion orders them
+    key = key[order]
     name = np.empty(len(sample), np.int64)
-    name[order] = np.cumsum(np.append(True, key[order][1:] != key[order][:-1]))
+    name[order] = np.cumsum(np.append(True, key[1:] != key[:-1]))
     if name[order[-1]] < len(sample):
         order = suffix_array(name)
         name[order] = np.arange(1, len(sample) + 1)
@@ -62,12 +73,13 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank[sample] = name
     rank[n:] = 0
     sorted_sample = sample[order]
-    sorted_sample = sorted_sample[sorted_sample < n]
-    zeros = np.arange(0, n, 3)
     big = len(sample) + 2
     one_key = lambda i: t[i] * big + rank[i + 1]
-    zeros = zeros[np.argsort(one_key(zeros), kind="stable")]
-    of_one, of_two = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
+    is_one = order < len(ones)
+    of_one, of_two = sorted_sample[is_one], sorted_sample[~is_one]
+    zeros = of_one - 1  # all third places, by what follows them
+    zeros = zeros[_by(t[zeros])]
+    of_one, sorted_sample = of_one[of_one < n], sorted_sample[sorted_sample < n]
     both = np.concatenate([of_two, zeros])
     two_key = _triples(t[both], t[both + 1], rank[both + 2], bits)
     before = np.searchsorted(one_key(of_one), one_key(zeros)) + np.searchsorted(two_key[: len(of_two)], two_key[len(of_two) :])
@@ -79,46 +91,56 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(parts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each part (of at least length bytes), its window starts that also occur in a part of a smaller doc."""
-    text = np.frombuffer(b"\x00".join([*parts, b"\x00" * 8]), np.uint8)
+def repeated(parts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts of the parts (of at least length bytes) that also occur in a part of a smaller doc: numbers of the
+    parts, and starts within them, in order."""
+    joined = b"\x00".join([*parts, b"\x00" * 8])
+    text = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    wins = sizes - length + 1
     owner = np.full(len(text), -1, np.int64)
-    for i, (b, w) in enumerate(zip(begin.tolist(), wins.tolist(), strict=True)):
-        owner[b : b + w] = i
+    of = np.repeat(np.arange(len(parts)), sizes - length + 1)
+    owner[_counted(begin, sizes - length + 1)] = of
     sa = suffix_array(text.astype(np.int64) + 1)
     sa = sa[owner[sa] >= 0]
-    eight = np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1))
-    same = np.ones(max(0, len(sa) - 1), bool)
-    offsets = [*range(0, length - 7, 8), length - 8] if length >= 8 else []
-    for off in offsets:
-        words = np.ascontiguousarray(eight[sa + off]).view(U).ravel()
-        same &= words[1:] == words[:-1]
+    near = np.arange(1, len(sa))  # those that equal the one before, as far as compared: the ends of windows first, as sorted ones begin alike
+    eight = np.ndarray((len(text) - 7,), U, joined, 0, (1,))
+    for off in [length - 8, *range(0, length - 8, 8)] if length >= 8 else ():
+        near = near[eight[sa[near] + off] == eight[sa[near - 1] + off]]
     for off in range(length) if length < 8 else ():
-        same &= text[sa[1:] + off] == text[sa[:-1] + off]
-    first = np.flatnonzero(np.append(True, ~same)) if len(sa) else np.empty(0, np.int64)
+        near = near[text[sa[near] + off] == text[sa[near - 1] + off]]
+    new = np.ones(len(sa), bool)
+    new[near] = False
+    first = np.flatnonzero(new)
     d = docs[owner[sa]]
     least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(sa)))) if len(sa) else d
     hit = np.sort(sa[d > least])
-    who = owner[hit]
-    cuts = np.searchsorted(who, np.arange(len(parts) + 1))
-    return [hit[cuts[i] : cuts[i + 1]] - begin[i] for i in range(len(parts))]
+    return owner[hit], hit - begin[owner[hit]]
+
+
+def _counted(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... counts[i] times for each i."""
+    before = np.cumsum(counts) - counts
+    return np.arange(counts.sum()) + np.repeat(begin - before, counts)
 
 
-def _ranges(places: np.ndarray) -> tuple[list[int], list[int]]:
-    """Sorted places as half-open ranges."""
-    if not len(places):
-        return [], []
-    gap = np.flatnonzero(np.diff(places) > 1)
-    return places[np.append(0, gap + 1)].tolist(), (places[np.append(gap, len(places) - 1)] + 1).tolist()
+def _ranges(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different places of sorted rows as half-open ranges: row, start, end."""
+    new = np.append(True, (place[1:] != place[:-1] + 1) | (row[1:] != row[:-1]))[: len(place)]
+    first = np.flatnonzero(new)
+    return row[first], place[first], place[np.append(first[1:], len(place))[: len(first)] - 1] + 1
 
 
 def _bytes(batch: pa.RecordBatch, i: int) -> list[bytes]:
     return [t or b"" for t in batch.column(i).cast(pa.binary()).to_pylist()]
 
 
+def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists end to end, and where each row's begin, and the last one's end; null is empty."""
+    counts = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return col.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(counts))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -129,14 +151,17 @@ def _scan(length: int):
 
     def settle(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         a, s, d = (np.concatenate([x[i] for x in held]) for i in range(3))
-        order = np.lexsort((d, s, a))
+        order = np.argsort(s)
+        if ((s[order[1:]] == s[order[:-1]]) & (a[order[1:]] != a[order[:-1]])).any():
+            order = np.lexsort((s, a))
         a, s, d = a[order], s[order], d[order]
-        first = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))[: len(a)]
-        least = d[np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))]
+        first = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (a[1:] != a[:-1])))
+        smallest = np.minimum.reduceat(d, first)
+        least = np.repeat(smallest, np.diff(np.append(first, len(a))))
         none = pa.list_(pa.int64())
-        for lo in range(0, len(a), 1 << 16):
-            on = lo + np.flatnonzero(first[lo : lo + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([_signed(a[on]), _signed(s[on]), pa.array(d[on]), pa.nulls(len(on), none)], ["a", "s", "doc", "full"])
+        for lo in range(0, len(first), 1 << 16):
+            on = first[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([_signed(a[on]), _signed(s[on]), pa.array(smallest[lo : lo + (1 << 16)]), pa.nulls(len(on), none)], ["a", "s", "doc", "full"])
         rest = np.flatnonzero(d > least)
         rest = rest[np.argsort(d[rest], kind="stable")]
         cuts = np.flatnonzero(np.append(True, d[rest][1:] != d[rest][:-1]))[: len(rest)]
@@ -151,7 +176,7 @@ def _scan(length: int):
         held, size = [], 0
         for batch in batches:
             ids, texts = np.array(batch.column(0).to_pylist(), np.int64), _bytes(batch, 1)
-            for lo, hi in blocks([len(t) for t in texts]):
+            for lo, hi in blocks([len(t) for t in texts], RUN_BYTES):
                 r = runs(texts[lo:hi], length)
                 held.append((r.anchor, r.content, ids[lo:hi][r.text]))
                 size += len(r.text)
@@ -170,25 +195,27 @@ def _pieces(length: int):
     An open run or a hot window comes once a text, with all of its places as starts.
     """
 
-    def marked(r: Runs, lists: list) -> np.ndarray:
-        """Which runs their texts' lists name."""
-        of = np.repeat(np.arange(len(lists)), [len(x or ()) for x in lists])
-        named = np.concatenate([np.empty(0, np.int64), *[np.array(x, np.int64) for x in lists if x]]).view(U)
+    def marked(r: Runs, named: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which runs their texts' lists name; the lists lie end to end, counts long."""
+        if not len(named):
+            return np.empty(0, np.int64)
         with np.errstate(over="ignore"):
-            return np.flatnonzero(np.isin(r.content + mix(r.text.astype(U)), named + mix(of.astype(U))))
+            named = np.sort(named + np.repeat(mix(np.arange(len(counts)).astype(U)), counts))
+            key = r.content + mix(r.text.astype(U))
+        return np.flatnonzero(named[np.minimum(np.searchsorted(named, key), len(named) - 1)] == key)
 
-    def block(ids: list, th: list, texts: list[bytes], lists: list[list]) -> list[tuple]:
+    def block(ids: list, th: list, texts: list[bytes], lists: list[tuple]) -> list[tuple]:
         r, out = runs(texts, length), []
         base = np.cumsum([0] + [len(t) for t in texts])[r.text] if len(r.text) else r.text
         start, end = r.start - base, r.end - base
-        on = marked(r, lists[FULL])
+        on = marked(r, *lists[FULL])
         cuts = np.flatnonzero(np.append(True, r.text[on][1:] != r.text[on][:-1]))[: len(on)].tolist()
         for x, y in zip(cuts, [*cuts[1:], len(on)], strict=False):
             i = r.text[on[x]]
             out.append((ids[i], th[i], FULL, None, None, start[on[x:y]], end[on[x:y]]))
         for kind in (OPEN, HOT):
             places: dict[tuple[int, int, bytes], list[int]] = {}
-            on = marked(r, lists[kind])
+            on = marked(r, *lists[kind])
             for i, a, p, q in zip(r.text[on].tolist(), r.anchor[on].view(np.int64).tolist(), start[on].tolist(), end[on].tolist(), strict=True):
                 for u, v in [(p, q)] if kind == OPEN else ((u, u + 1) for u in range(p, q)):
                     places.setdefault((i, a, texts[i][u : v + length - 1]), []).append(u)
@@ -198,9 +225,9 @@ def _pieces(length: int):
     def run(batches):
         for batch in batches:
             ids, th, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch, 2)
-            lists = [batch.column(k).to_pylist() for k in (3, 4, 5)]
-            for lo, hi in blocks([len(t) for t in texts]):
-                if out := block(ids[lo:hi], th[lo:hi], texts[lo:hi], [x[lo:hi] for x in lists]):
+            lists = [_lists(batch.column(k)) for k in (3, 4, 5)]
+            for lo, hi in blocks([len(t) for t in texts], RUN_BYTES):
+                if out := block(ids[lo:hi], th[lo:hi], texts[lo:hi], [(x.view(U)[at[lo] : at[hi]], np.diff(at[lo : hi + 1])) for x, at in lists]):
                     yield _rows(out)
 
     return run
@@ -215,27 +242,49 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def _sort(length: int):
     """a, doc, th, places, data by anchor -> doc, th, starts, ends of windows that a smaller doc has."""
 
-    def settle(held: list[tuple]) -> pa.RecordBatch:
-        docs = np.array([x[1] for x in held], np.int64)
-        out = []
-        for x, hit in zip(held, repeated([x[4] for x in held], docs, length), strict=True):
-            if len(hit):
-                out.append((x[1], x[2], *_ranges(np.unique(np.add.outer(np.array(x[3], np.int64), hit)))))
-        ints = pa.list_(pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), ints, ints))], ["doc", "th", "starts", "ends"])
+    def settle(held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        doc, th = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        part, at = repeated(_bytes(rows, 4), doc, length)
+        places, cuts = _lists(rows.column(3))
+        hits, n_places = np.bincount(part, minlength=len(doc)), np.diff(cuts)
+        # Each place of a part has all of the part's hits; so many parts at once that these are some million.
+        for lo, hi in blocks((n_places * hits).tolist()):
+            row = np.repeat(np.arange(lo, hi), n_places[lo:hi])
+            each = at[_counted((np.cumsum(hits) - hits)[row], hits[row])]
+            place = np.repeat(places[cuts[lo] : cuts[hi]].astype(np.int64), hits[row]) + each
+            row = np.repeat(row, hits[row])
+            order = np.lexsort((place, row))
+            row, place = row[order], place[order]
+            once = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1]))[: len(row)]
+            row, start, end = _ranges(row[once], place[once])
+            on, n = np.unique(row, return_counts=True)
+            ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            ranges = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (start, end)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(th[on]), *ranges], ["doc", "th", "starts", "ends"])
 
     def run(batches):
-        held: list[tuple] = []
-        size = 0
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
         for batch in batches:
-            for x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size > SORT_BYTES // 2 and held[-1][0] != x[0]:
-                    yield settle(held)
-                    held, size = [], 0
-                held.append(x)
-                size += len(x[4]) + 1
+            a = batch.column(0).to_numpy()
+            sizes = np.array([len(t) for t in _bytes(batch, 4)], np.int64)
+            before = np.cumsum(sizes + 1) - sizes - 1
+            heads = np.flatnonzero(np.append(a[:1] != last, a[1:] != a[:-1]))
+            lo = 0
+            while lo < len(a):
+                full = np.searchsorted(before, SORT_BYTES // 2 - size + before[lo], "right")
+                at = heads[np.searchsorted(heads, full) :][:1]
+                hi = int(at[0]) if len(at) else len(a)
+                held.append(batch.slice(lo, hi - lo))
+                if not len(at):
+                    size += int(before[-1] + sizes[-1] + 1 - before[lo])
+                    break
+                yield from settle(held)
+                held, size, lo = [], 0, hi
+            last = a[-1] if len(a) else last
         if held:
-            yield settle(held)
+            yield from settle(held)
 
     return run
 

@@ -1,9 +1,12 @@
 import hashlib
 import random
 import re
+import sys
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +226,74 @@ def test_anchor_runs():
             assert same.setdefault(c, (joined[s : e + 49], p - s, a)) == (joined[s : e + 49], p - s, a)
 
 
+def open_runs(rng, anchors, docs, n_bytes):
+    """Rows as the suffix sort gets them: an anchor, a document, a hash of its text, places of a run in it, the run's bytes."""
+    rows = []
+    for a in range(anchors):
+        base = bytes(rng.randrange(97, 123) for _ in range(2 * n_bytes))
+        for doc in rng.sample(range(100), docs):
+            k = rng.randrange(n_bytes // 2)
+            rows.append((a, doc, -doc, sorted(rng.sample(range(300), rng.choice([1, 1, 2, 40]))), base[k : k + n_bytes + rng.randrange(9)]))
+    return rows
+
+
+def batches_of(rows, size):
+    kinds = {"a": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "starts": pa.list_(pa.int32()), "data": pa.binary()}
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds)).to_batches(max_chunksize=size)
+
+
+@pytest.mark.parametrize("size, limit", [(7, 1_000_000), (7, 300), (1000, 300), (1000, 2000)])
+def test_suffix_sort_of_batches(size, limit, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", limit)
+    rows = open_runs(random.Random(6), 25, 5, 60)
+    least, want = {}, {}
+    for a, doc, _, _, data in rows:
+        for k in range(len(data) - 49):
+            w = data[k : k + 50]
+            least[a, w] = min(doc, least.get((a, w), doc))
+    for i, (a, doc, th, starts, data) in enumerate(rows):
+        if found := {s + k for s in starts for k in range(len(data) - 49) if least[a, data[k : k + 50]] < doc}:
+            want[i] = (doc, th, sorted(found))
+    got = []
+    for r in (r for b in suffix_dedup._sort(50)(iter(batches_of(rows, size))) for r in b.to_pylist()):
+        got.append((r["doc"], r["th"], [x for s, e in zip(r["starts"], r["ends"], strict=True) for x in range(s, e)]))
+        assert all(s > e for s, e in zip(r["starts"][1:], r["ends"], strict=False))
+    assert want and got == list(want.values())
+
+
+def test_suffix_sort_of_lines_that_repeat_in_many_texts():
+    """The places of all parts together, 50 million here, aren't held at once."""
+    line = b"the same long line of a page, again and again, 0123456789 and so on, to its end"
+    rows = [(1, d, d, list(range(0, 1_000_000, 100)), line[: 99 + d % 2] + b"%03d" % d) for d in range(200)]
+    tracemalloc.start()
+    n = sum(len(x) for b in suffix_dedup._sort(50)(iter(batches_of(rows, 1000))) for x in b.column("starts").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 199 * 10_000 and peak < 400_000_000
+
+
+def calls(f):
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_suffix_sort_makes_few_calls_for_a_run():
+    """Its CPU time is the arrays', not that of Python's calls for each run."""
+    rows = open_runs(random.Random(7), 1000, 4, 70)
+    batches = batches_of(rows, 10_000)
+    assert calls(lambda: list(suffix_dedup._sort(50)(iter(batches)))) < 4 * len(rows)
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
 
